@@ -183,7 +183,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = clusters.join(sizes, "component").select(
         F.col("component").alias("cluster"), F.col("node").alias("rep"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("x")
     )
-    texts = placed.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    # a sort-merge join at every size: the clusters grow with the documents, so they are not to be broadcast
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").hint("merge").join(placed, "rep")
     tasks = texts.select(
         "cluster", "rep", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"), "x"
     ).select("cluster", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "rep", "text")
