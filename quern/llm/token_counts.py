@@ -21,12 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from quern.llm import textvec as tv
-from quern.llm.bpe import vocabulary
+from quern.llm.bpe import PATTERN, PLAIN, vocabulary
 
-#: The split pattern published with the vocabulary.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters on which both pattern engines agree.
-PLAIN = "\x00-\x1b\x20-\x7e\xa1-ȳΑ-ΡΣ-ϿЀ-ҁ‐-‧‰-⁞€ぁ-ゖァ-ヺ一-龥가-힣"
 #: Merged pre-tokens that a worker remembers.
 REMEMBER = 300_000
 LIMIT = 512

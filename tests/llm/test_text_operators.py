@@ -145,6 +145,18 @@ def test_plain_characters_split_alike(tokenizer):
         s = f"a{c}a 1{c}1 !{c}!  {c} {c}{c}"
         want = [s[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(s)]
         assert split.findall(s) == want, hex(ord(c))
+    codec = bpe.Codec(bpe.vocabulary())
+    assert codec.quick
+    texts = [f"a{c}a 1{c}1 !{c}!  {c} {c}{c}\n" for c in chars]
+    for ids, e in zip(codec._ids([t.encode() for t in texts]), tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert ids.tolist() == e.ids
+
+
+def test_long_runs_are_the_library(tokenizer):
+    codec = bpe.Codec(bpe.vocabulary())
+    for t in (" " * 50_000, "\n" * 19_999, "x" * 19_999, "ab" * 60_000, " \n" * 9_000 + "a", "=" * 15_000, "1" * 15_000, "é" * 19_000):
+        data = np.frombuffer(t.encode(), np.uint8)
+        assert codec.encode(data, np.array([0, len(data)]))[0].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
 def test_whole_tokens_are_proved(tokenizer):
