@@ -53,31 +53,29 @@ def parse(messages: DataFrame) -> DataFrame:
 
 def _threads(parents: DataFrame, scratch: Scratch, most: int = 40) -> DataFrame:
     """conv_id, turn, thread_conv, thread_turn, depth from conv_id, turn, p_conv, p_turn (null: begins a thread)."""
+    # a node is done once its ancestor is the root of its thread; only the others are joined again
     state = scratch.keep(
         parents.select(
             "conv_id", "turn", F.coalesce("p_conv", "conv_id").alias("a_conv"), F.coalesce("p_turn", "turn").alias("a_turn"),
-            F.col("p_conv").isNotNull().cast("long").alias("depth"),
+            F.col("p_conv").isNotNull().cast("long").alias("depth"), F.col("p_conv").isNull().alias("done"),
         )
     )
-    seen = None
     for _ in range(most):
-        said = state.agg(F.sum("depth")).first()[0]
-        if said == seen:
+        if state.where("NOT done").isEmpty():
             break
-        seen = said
         up = state.select(
-            F.col("conv_id").alias("a_conv"), F.col("turn").alias("a_turn"), F.col("a_conv").alias("b_conv"), F.col("a_turn").alias("b_turn"), F.col("depth").alias("more")
+            F.col("conv_id").alias("a_conv"), F.col("turn").alias("a_turn"), F.col("a_conv").alias("b_conv"), F.col("a_turn").alias("b_turn"),
+            F.col("depth").alias("more"), F.col("done").alias("last"),
+        )
+        moved = state.where("NOT done").join(up, ["a_conv", "a_turn"]).select(
+            "conv_id", "turn", F.col("b_conv").alias("a_conv"), F.col("b_turn").alias("a_turn"), (F.col("depth") + F.col("more")).alias("depth"), F.col("last").alias("done")
         )
-        moved = state.join(up, ["a_conv", "a_turn"], "left")
         old = scratch.n
-        state = scratch.keep(
-            moved.select(
-                "conv_id", "turn", F.coalesce("b_conv", "a_conv").alias("a_conv"), F.coalesce("b_turn", "a_turn").alias("a_turn"),
-                (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-            )
-        )
+        state = scratch.keep(state.where("done").unionByName(moved))
         scratch.drop(old)
-    return state.withColumnsRenamed({"a_conv": "thread_conv", "a_turn": "thread_turn"})
+    else:
+        raise RuntimeError(f"threads did not settle in {most} rounds")
+    return state.drop("done").withColumnsRenamed({"a_conv": "thread_conv", "a_turn": "thread_turn"})
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
