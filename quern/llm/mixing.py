@@ -146,7 +146,7 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 1) -> DataFrame:
     """The mix itself: the columns of docs, a row for each draw, with `shard`, `pass` and `words`; a draw of a part of a text
     holds its first words.  Rows of a shard lie in one partition's range in shuffled order."""
     drawn = allocate(docs, shards, seed).withColumn("d", F.explode("draws"))
-    first = F.expr(r"regexp_extract(text, concat('^[\\x20\\x09-\\x0D]*(?:[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]+){', d.words - 1, '}[^\\x20\\x09-\\x0D]+'), 0)")
+    first = F.expr(r"array_join(slice(regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0), 1, CAST(d.words AS INT)), '')")
     drawn = drawn.withColumn("text", F.when(F.col("d.words") < F.col("size"), first).otherwise(F.col("text")))
     place = F.xxhash64(F.lit(seed + 1), "doc_id", "source", F.col("d.pass"))
     return (

@@ -61,6 +61,14 @@ def test_mix_holds_what_was_drawn(odd):
     assert {r.shard for r in got} <= set(range(4))
 
 
+def test_mix_cuts_very_long_texts(spark):
+    text = "\n " + " \t".join(f"w{i}" for i in range(60_000)) + " "
+    df = spark.createDataFrame([(1, text, "a"), (2, "x y", "b")], "doc_id long, text string, source string")
+    got = {(r.doc_id, r["pass"]): r for r in mixing.mix(df, shards=2).collect()}
+    cut = [r for (i, _), r in got.items() if i == 1 and r.words < 60_000]
+    assert cut and all(text.startswith(r.text) and len(brute.words(r.text)) == r.words for r in cut)
+
+
 # 2: substrings
 
 
