@@ -13,10 +13,17 @@ from quern.llm import bpe, minhash, mixing, quality, secrets
 from quern.llm.scratch import Scratch
 
 
+def _apart(docs: DataFrame):
+    """(docs with names that no operator uses for the columns it doesn't read; the way back to those of docs)."""
+    own = [c if c in ("doc_id", "text", "source") else f"__column{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*own), lambda out: out.select(*own).toDF(*docs.columns)
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on this stage's labelled documents, rejects go."""
     weights = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs.withColumn("__row", F.struct(*docs.columns)), weights, keep=["__row", "text"]).where("predicted = 1").select("__row.*")
+    inner, back = _apart(docs)
+    return back(quality.score(inner, weights).where("predicted = 1"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,13 +34,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts give way to their kind."""
-    out = secrets.redact(docs)
+    inner, back = _apart(docs)
+    out = back(secrets.redact(inner))
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast("long")) if "n_chars" in docs.columns else out
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture draws them, in shuffled shards; the last draw of a source may be a part of a text."""
-    out = mixing.mix(docs).select(*docs.columns)
+    inner, back = _apart(docs)
+    out = back(mixing.mix(inner))
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast("long")) if "n_chars" in docs.columns else out
 
 

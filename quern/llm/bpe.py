@@ -175,19 +175,19 @@ def encode(docs: DataFrame, path: str | None = None, keep: list[str] | None = No
     path = path or vocabulary()
     added = ["ids", "decoded"] if decoded else ["ids"]
     keep = [c for c in (keep or docs.columns) if c not in added]
-    inner = docs.select(*keep, F.col("text").alias("__text"))
+    inner, place, kept = tv.carry(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path)
         for b in batches:
-            for at, end, data, offsets in tv.slices(b.column(len(keep))):
+            for at, end, data, offsets in tv.slices(b.column(place)):
                 ids, first = codec.encode(data, offsets)
                 out = [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))]
                 if decoded:
                     out.append(codec.decode(ids, first).cast(pa.string()))
                 yield pa.RecordBatch.from_arrays([*[c.slice(at, end - at) for c in b.columns[: len(keep)]], *out], names=[*keep, *added])
 
-    schema = inner.drop("__text").schema.add("ids", ArrayType(IntegerType()))
+    schema = kept.add("ids", ArrayType(IntegerType()))
     if decoded:
         schema = schema.add("decoded", StringType())
     return inner.mapInArrow(run, schema)

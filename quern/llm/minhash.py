@@ -83,7 +83,7 @@ def _features(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n", "h1", "h2", "keys", "sig"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, keys array<long>, sig binary")
+    return tv.carry(docs, ["doc_id", "text"])[0].mapInArrow(run, "doc_id long, n long, h1 long, h2 long, keys array<long>, sig binary")
 
 
 def forest(n: int, links) -> list[tuple[int, int]]:

@@ -113,13 +113,13 @@ def score(docs: DataFrame, weights: np.ndarray, keep: list[str] | None = None) -
     bits = (len(weights) - 1).bit_length() - 1
     shared = spark.sparkContext.broadcast(weights.astype(np.float32))
     keep = [c for c in (keep or docs.columns) if c not in ("score", "predicted")]
-    inner = docs.select(*keep, F.col("text").alias("__text"))
+    inner, place, kept = tv.carry(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value.astype(float)
         for b in batches:
             out = np.empty(b.num_rows)
-            for at, end, data, offsets in tv.slices(b.column(len(keep))):
+            for at, end, data, offsets in tv.slices(b.column(place)):
                 f, first = features(data, offsets, bits)
                 total = np.concatenate([[0.0], np.cumsum(w[f])])
                 out[at:end] = (total[first[1:]] - total[first[:-1]]) * (SCALE / np.maximum(1, np.diff(first))) + w[-1]
@@ -129,7 +129,7 @@ def score(docs: DataFrame, weights: np.ndarray, keep: list[str] | None = None) -
                 names=[*keep, "score", "predicted"],
             )
 
-    schema = inner.drop("__text").schema.add("score", "double").add("predicted", "integer")
+    schema = kept.add("score", "double").add("predicted", "integer")
     return inner.mapInArrow(run, schema)
 
 

@@ -169,13 +169,13 @@ def _worth(data: np.ndarray, offsets: np.ndarray, raw: bytes) -> np.ndarray:
 def find_secrets(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Adds `secrets`, the spans of `text` in order, to the columns `keep` of docs (all by default)."""
     keep = [c for c in (keep or docs.columns) if c != "secrets"]
-    inner = docs.select(*keep, F.col("text").alias("__text"))
+    inner, place, kept = tv.carry(docs, keep)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found: list[list[dict]] = []
-            for _, _, data, offsets in tv.slices(b.column(len(keep))):
+            for _, _, data, offsets in tv.slices(b.column(place)):
                 raw = data.tobytes()
                 bounds = offsets.tolist()
                 for i, worth in enumerate(_worth(data, offsets, raw).tolist()):
@@ -183,7 +183,7 @@ def find_secrets(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
                     found.append([{"kind": k, "begin": x, "end": y} for k, x, y in spans])
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(found, kind)], names=[*keep, "secrets"])
 
-    return inner.mapInArrow(run, inner.drop("__text").schema.add("secrets", ArrayType(SPAN)))
+    return inner.mapInArrow(run, kept.add("secrets", ArrayType(SPAN)))
 
 
 def redact(docs: DataFrame) -> DataFrame:

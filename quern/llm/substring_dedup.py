@@ -189,6 +189,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (the words left, joined by one space) of each row of docs."""
+    tv.carry(docs, ["doc_id", "text"])
     spans = removed_spans(docs, Scratch(docs.sparkSession))
     texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").join(spans, ["doc_id", "mark"], "left")
     return texts.select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string")

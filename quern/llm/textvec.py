@@ -14,6 +14,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text handled at once; long rows stand alone.
 SLICE_BYTES = 2 << 20
@@ -122,3 +125,18 @@ def slices(column: pa.Array, most: int | None = None) -> Iterator[tuple[int, int
 
 def as_signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+#: Bytes of an Arrow batch at most: rows can be long, and a worker holds some batches at once.
+BATCH_BYTES = 8 << 20
+
+
+def carry(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, int, StructType]:
+    """(what a worker is sent: `keep` and the text, once; the place of the text; the schema of `keep`)."""
+    conf = docs.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    kept = docs.select(*keep)
+    if "text" in keep:
+        return kept, keep.index("text"), StructType(list(kept.schema))
+    return docs.select(*keep, F.col("text").alias("__text")), len(keep), StructType(list(kept.schema))

@@ -94,12 +94,12 @@ def count_tokens(docs: DataFrame, path: str | None = None, keep: list[str] | Non
     # bounded by the vocabulary
     proved = docs.sparkSession.sparkContext.broadcast(prove_whole_tokens(path))
     keep = [c for c in (keep or docs.columns) if c not in ("n_bytes", "n_tokens")]
-    inner = docs.select(*keep, F.col("text").alias("__text"))
+    inner, place, kept = tv.carry(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter.of(path, proved.value)
         for b in batches:
-            for at, end, data, offsets in tv.slices(b.column(len(keep))):
+            for at, end, data, offsets in tv.slices(b.column(place)):
                 raw = data.tobytes()
                 bounds = offsets.tolist()
                 n = [counter.count(raw[x:y].decode()) for x, y in zip(bounds[:-1], bounds[1:])]
@@ -108,7 +108,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, keep: list[str] | Non
                     names=[*keep, "n_bytes", "n_tokens"],
                 )
 
-    return inner.mapInArrow(run, inner.drop("__text").schema.add("n_bytes", LongType()).add("n_tokens", LongType()))
+    return inner.mapInArrow(run, kept.add("n_bytes", LongType()).add("n_tokens", LongType()))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
