@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions import patterns as P
@@ -51,7 +55,7 @@ def local_chunks(files: DataFrame) -> DataFrame:
     """Chunks of (doc_ord, file_name, title, paragraphs): by articles, or else one chunk of 8,000 characters."""
     full = T.collapse(F.array_join("paragraphs", " "))
     rows = files.withColumn("full", full).where("full <> ''").withColumn("pieces", split_articles(F.col("full")))
-    head = F.col("full").rlike(P.ARTICLE_HEAD.replace("^", ""))
+    head = F.col("full").rlike(P.ARTICLE_HEAD.replace("(?U)^", "(?U)"))
     date = [F.regexp_extract("full", P.DATE_LOCAL, i) for i in (1, 2, 3)]
     shown = F.when(date[0] != "", F.concat(date[0], F.lit(". "), date[1].cast("int").cast("string"), F.lit(". "), date[2].cast("int").cast("string"), F.lit(".")))
     whole = F.array(F.struct(F.lit("").alias("label"), F.lit("").alias("title"), F.substring("full", 1, 8000).alias("text")))
@@ -68,16 +72,10 @@ def local_chunks(files: DataFrame) -> DataFrame:
 
 def collect_text(value: Column, suffix: str = "내용") -> Column:
     """Array of the texts under keys with a suffix in a JSON document (a string), depth first."""
-    from pyspark.sql.types import ArrayType, StringType
-
-    return F.pandas_udf(_collector(suffix), ArrayType(StringType()))(value)
+    return F.pandas_udf(_collector(suffix), "array<string>")(value)
 
 
 def _collector(suffix: str):
-    import json
-
-    import pandas as pd
-
     def walk(x, out):
         for k, v in x.items() if isinstance(x, dict) else enumerate(x) if isinstance(x, list) else ():
             if isinstance(k, str) and k.endswith(suffix) and isinstance(v, str):
@@ -100,10 +98,6 @@ def _collector(suffix: str):
 
 def find_key(value: Column, part: str, kind: str = "string") -> Column:
     """The first value (as JSON) under a key that contains `part` in a JSON document, a level before those below it; kind: string, list or any."""
-    import json
-
-    import pandas as pd
-
     fits = {"string": lambda v: isinstance(v, str) and bool(v.strip()), "list": lambda v: isinstance(v, list), "any": lambda v: v is not None}[kind]
 
     def walk(x):
@@ -156,8 +150,6 @@ def statute_chunks(payloads: DataFrame, doc_type: str = "법령") -> DataFrame:
     three = rest.where("size(pieces) = 0 AND full <> ''").select(
         *meta, F.lit(0).alias("pos"), F.lit("문서").alias("unit"), F.lit("").alias("article_label"), F.lit("").alias("article_title"), F.substring("full", 1, 8000).alias("text")
     )
-    from pyspark.sql import Window as W
-
     out = one.unionByName(two).unionByName(three).withColumn("seq", F.row_number().over(W.partitionBy("doc_ord").orderBy("pos")) - 1)
     family = P.LEGAL
     return out.select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import patterns as P
 from quern.functions import text as T
+from quern.sinks.store import stored
 
 
 def labels(triples: DataFrame) -> DataFrame:
@@ -36,19 +37,23 @@ def edges(triples: DataFrame, predicates: tuple[str, ...] = P.WALKED, nodes: Dat
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFrame:
-    """(iri, distance, parent, via): nodes within `hops` of the seeds (iri), by levels; of several parents the smallest."""
+    """(iri, distance, parent, via): nodes within `hops` of the seeds (iri), by levels; of several parents the smallest.
+
+    Every level is written before the next one reads it: the plan does not grow with the hops."""
+    edges = stored(edges)
     seen = seeds.select("iri", F.lit(0).alias("distance"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("via")).distinct()
-    level = seen
+    seen = level = stored(seen)
     for hop in range(1, hops + 1):
         step = level.select(F.col("iri").alias("src")).join(edges, "src").groupBy(F.col("dst").alias("iri")).agg(F.min(F.struct("src", "via")).alias("from"))
-        level = step.join(seen.select("iri"), "iri", "left_anti").select("iri", F.lit(hop).alias("distance"), F.col("from.src").alias("parent"), F.col("from.via").alias("via"))
+        fresh = step.join(seen.select("iri"), "iri", "left_anti")
+        level = stored(fresh.select("iri", F.lit(hop).alias("distance"), F.col("from.src").alias("parent"), F.col("from.via").alias("via")))
         seen = seen.unionByName(level)
     return seen
 
 
 def paths(found: DataFrame, names: DataFrame, hops: int = 3) -> DataFrame:
     """Adds label and path (array of 'label –relation→ label' from the seed on) to a neighbourhood."""
-    named = found.join(names, "iri", "left").withColumn("label", F.coalesce("label", "iri"))
+    named = stored(found.join(names, "iri", "left").withColumn("label", F.coalesce("label", "iri")))
     up = named.select(F.col("iri").alias("parent"), F.col("label").alias("up_label"))
     named = named.join(up, "parent", "left").withColumn("step", F.concat(F.col("up_label"), F.lit(" –"), F.col("via"), F.lit("→ "), F.col("label")))
     out = named.where("distance = 0").select("iri", "distance", "parent", "label", F.array().cast("array<string>").alias("path"))

@@ -12,7 +12,7 @@ from quern.functions import ids
 from quern.functions import text as T
 from quern.operators import corpus, extract
 from quern.operators.resolve import aliases, registry
-from quern.plans.store import stored
+from quern.sinks.store import stored
 
 
 def _rows(df: DataFrame, stage: int, order: Column, *said: tuple) -> DataFrame:

@@ -13,7 +13,6 @@ from quern.operators import chunking, classify, corpus, extract, graph, vector
 from quern.operators.resolve import containing, resolve
 from quern.plans.build import Graph
 from quern.plans.hybrid import HybridSession
-from quern.plans.store import stored
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -384,7 +383,7 @@ w AS (SELECT f.iri, '' AS path FROM f WHERE distance = 0 UNION ALL SELECT u.iri,
 JOIN l lp ON lp.iri = u.parent JOIN l lc ON lc.iri = u.iri) SELECT iri, CASE WHEN path = '' THEN '' ELSE substr(path, 4) END AS path FROM w""")
 def bfs_paths(spark, sf_dir):
     g = built(spark, sf_dir)
-    found = stored(graph.neighbourhood(graph.edges(g.triples), _seed(spark, sf_dir)))
+    found = graph.neighbourhood(graph.edges(g.triples), _seed(spark, sf_dir))
     return graph.paths(found, graph.labels(g.triples)).select("iri", F.array_join("path", " | ").alias("path"))
 
 
@@ -474,7 +473,7 @@ def sse_events(spark, sf_dir):
 @query()
 def turtle_roundtrip(spark, sf_dir):
     """Triples that a written and reread graph lacks or has besides: none."""
-    from quern.plans.store import shared_dir
+    from quern.sinks.store import shared_dir
     from quern.sinks import turtle as sink
     from quern.sources import turtle as source
 

@@ -21,7 +21,7 @@ def _named(df: DataFrame) -> DataFrame:
 def read_txt(spark: SparkSession, folder: str) -> DataFrame:
     """(path, file_name, title, paragraphs): lines that are not empty; bytes that are no UTF-8 are replaced."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(folder)
-    lines = F.transform(F.split(F.decode("content", "UTF-8"), "\r\n|\r|\n"), strip)
+    lines = F.transform(F.split(F.make_valid_utf8(F.col("content").cast("string")), "\r\n|\r|\n"), strip)
     return _named(files.select("path", F.filter(lines, lambda x: x != "").alias("paragraphs"))).select("path", "file_name", "title", "paragraphs")
 
 

@@ -17,7 +17,7 @@ class NotAuthorised(RuntimeError):
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """(file_name, payload); fails if any answer is a refusal."""
-    rows = spark.read.option("wholetext", True).text(folder).select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("payload"))
+    rows = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("payload"))
     if not rows.where(F.contains("payload", F.lit(P.AUTH_FAILURE))).isEmpty():
         raise NotAuthorised("an answer says that its caller is not registered")
     return rows

@@ -14,7 +14,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     A file is read as a whole row only for the sake of its lines' order; files as large as one task's memory are to be split when written.
     """
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "raw"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "raw"))
     return statements(files)
 
 

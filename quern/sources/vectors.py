@@ -40,6 +40,6 @@ def read_npy(spark: SparkSession, matrix: str, meta: str) -> DataFrame:
                     yield pd.DataFrame({"row_id": range(at, at + len(part)), "embedding": list(part)})
 
     vectors = spark.read.format("binaryFile").load(matrix).select("content").mapInPandas(run, "row_id long, embedding array<float>")
-    lines = spark.read.option("wholetext", True).text(meta).select(F.posexplode(F.split("value", "\n")).alias("row_id", "line"))
+    lines = spark.read.text(meta, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("row_id", "line"))
     said = F.from_json("line", "id string, doc string, text string")
     return vectors.join(lines.select(F.col("row_id").cast("long").alias("row_id"), said.alias("m")), "row_id").select("row_id", "m.id", "m.doc", "m.text", "embedding").where("doc IS NOT NULL")
