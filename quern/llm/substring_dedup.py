@@ -11,7 +11,11 @@ sequence also starts in a document with a smaller doc_id.
    shard of its smallest hash.  Shards hold about SHARD_WORDS words, however many documents there are.
 4. A shard builds a compressed FM-index (wavelet matrix) over its segments, streams them through it by backward search
    and reports for every window the smallest doc_id in its interval.
-5. A segment's other documents lose all its words, its first one only windows with a still smaller doc_id; intervals
+5. A smallest hash whose different segments hold over HOT_WORDS words (a passage that many documents share, each in
+   another context) is too much for one shard: its segments are cut again into segments of one window, dealt by the
+   hash of the whole window.  Those of one document are done with as in 2; of equal ones all but the first lose their
+   words as in 6.  Only sums of bits for each segment come back, so no task holds such a group.
+6. A segment's other documents lose all its words, its first one only windows with a still smaller doc_id; intervals
    go back to their documents, which are cut in one last pass.
 
 A null text has no words.  Rows with a null doc_id are returned whole and make no other row lose words.  Documents
@@ -36,8 +40,9 @@ from quern.llm.scratch import Scratch
 
 WINDOW = 50
 SEED = 8
-SPAN = 64
+SPAN = 64  # windows of a segment, at most the bits of a long
 SHARD_WORDS = 600_000
+HOT_WORDS = 300_000
 
 
 def _slide_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -85,24 +90,43 @@ def _segments(docs: DataFrame) -> DataFrame:
     return inner.mapInArrow(run, "mkey long, seg long, doc_id long, mark long, begin int, n int")
 
 
-def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The word hashes of each segment asked for."""
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, pa.Array]]:
+    """(word hashes of a slice of texts; the segments asked for, the first word and the number of words of each, its doc_id)."""
     for b in batches:
         asked = b.column(2)
         for at, end, data, offsets in tv.slices(b.column(1)):
             words = tv.Words(data, offsets)
-            h = words.hashes()
             own = asked.slice(at, end - at)
             flat = own.flatten()
             k = np.diff(own.offsets.to_numpy())
             begin = flat.field("begin").to_numpy() + np.repeat(words.first[:-1], k)
-            n = flat.field("n").to_numpy().astype(np.int64)
-            ends = np.cumsum(n)
-            packed = h[np.repeat(begin - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
-            cut = np.concatenate([[0], ends * 8]).astype(np.int32)
-            words_of = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(cut), pa.py_buffer(packed)])
             doc = b.column(0).slice(at, end - at).take(pa.array(np.repeat(np.arange(end - at), k)))
-            yield pa.RecordBatch.from_arrays([flat.field("mkey"), flat.field("seg"), doc, words_of], names=["mkey", "seg", "doc_id", "words"])
+            yield words.hashes(), flat, begin, flat.field("n").to_numpy().astype(np.int64), doc
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The word hashes of each segment asked for."""
+    for h, flat, begin, n, doc in _asked(batches):
+        ends = np.cumsum(n)
+        packed = h[np.repeat(begin - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        cut = np.concatenate([[0], ends * 8]).astype(np.int32)
+        words_of = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(cut), pa.py_buffer(packed)])
+        yield pa.RecordBatch.from_arrays([flat.field("mkey"), flat.field("seg"), doc, words_of], names=["mkey", "seg", "doc_id", "words"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each window of the segments asked for: its place in the segment and the hash of its words."""
+    for h, flat, begin, n, doc in _asked(batches):
+        whole = tv.runs(h, WINDOW)
+        k = n - WINDOW + 1
+        ends = np.cumsum(k)
+        of = np.repeat(np.arange(len(k)), k)
+        at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - k, k)
+        take = pa.array(of)
+        yield pa.RecordBatch.from_arrays(
+            [flat.field("mkey").take(take), flat.field("seg").take(take), doc.take(take), pa.array(at.astype(np.int32)), pa.array(whole[begin[of] + at].view(np.int64))],
+            names=["mkey", "seg", "doc_id", "at", "window"],
+        )
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +154,17 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def removed_spans(docs: DataFrame, scratch: Scratch, shard_words: int = SHARD_WORDS) -> DataFrame:
+def _repeats_of_hot(windows: DataFrame) -> DataFrame:
+    """What _repeats returns, from windows that meet by their whole hash; the bits of a long are the windows of a segment."""
+    least = windows.groupBy("mkey", "window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
+    hits = windows.join(least, ["mkey", "window"]).where("doc_id > lo")
+    bits = hits.groupBy("mkey", "seg").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("bits"))
+    set_ = "filter(sequence(0, 63), i -> getbit(bits, i) = 1 AND (i = {} OR getbit(bits, {}) = 0))"
+    runs = F.arrays_zip(F.expr(set_.format(0, "greatest(i - 1, 0)")).alias("a"), F.expr(set_.format(63, "least(i + 1, 63)")).alias("z"))
+    return bits.select("mkey", "seg", F.inline(runs).alias("a", "z")).withColumn("z", F.col("z") + WINDOW)
+
+
+def removed_spans(docs: DataFrame, scratch: Scratch, shard_words: int = SHARD_WORDS, hot_words: int = HOT_WORDS) -> DataFrame:
     """doc_id, mark (a hash of the text) and spans, array of (a, z) in words, that are to be removed."""
     all_ = scratch.keep(_segments(docs))
     shared = all_.groupBy("mkey").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("mkey")
@@ -140,13 +174,22 @@ def removed_spans(docs: DataFrame, scratch: Scratch, shard_words: int = SHARD_WO
         found.groupBy("mkey", "seg").agg(F.min(F.struct("doc_id", "mark", "begin", "n")).alias("one"), F.max("doc_id").alias("hi"))
         .select("mkey", "seg", "one.*", "hi")
     )
-    words = distinct.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, -(-words // shard_words))
-    asked = distinct.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("mkey", "seg", "begin", "n")).alias("asked"))
-    texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").join(asked, ["doc_id", "mark"])
-    contents = texts.select("doc_id", "text", "asked").mapInArrow(_contents, "mkey long, seg long, doc_id long, words binary")
+    sizes = scratch.keep(distinct.groupBy("mkey").agg(F.sum("n").alias("words")))
+    hot = sizes.where(F.col("words") > hot_words).select("mkey")
+    words, n_hot = sizes.agg(F.sum(F.when(F.col("words") <= hot_words, F.col("words"))), F.count_if(F.col("words") > hot_words)).first()
+
+    def texts_of(segments: DataFrame) -> DataFrame:
+        asked = segments.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("mkey", "seg", "begin", "n")).alias("asked"))
+        texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").join(asked, ["doc_id", "mark"])
+        return texts.select("doc_id", "text", "asked")
+
+    shards = max(1, -(-(words or 0) // shard_words))
+    contents = texts_of(distinct.join(hot, "mkey", "left_anti") if n_hot else distinct).mapInArrow(_contents, "mkey long, seg long, doc_id long, words binary")
     dealt = contents.repartition(int(shards), "mkey").sortWithinPartitions("mkey", "seg")
     inner = scratch.keep(dealt.mapInArrow(_repeats, "mkey long, seg long, a int, z int"))
+    if n_hot:
+        windows = texts_of(distinct.join(hot, "mkey", "left_semi")).mapInArrow(_windows, "mkey long, seg long, doc_id long, at int, window long")
+        inner = inner.unionByName(scratch.keep(_repeats_of_hot(scratch.keep(windows))))
     whole = (
         found.join(distinct.where("doc_id < hi").select("mkey", "seg", F.col("doc_id").alias("lo")), ["mkey", "seg"])
         .where("doc_id > lo").select("doc_id", "mark", F.col("begin").alias("a"), (F.col("begin") + F.col("n")).alias("z"))

@@ -79,16 +79,29 @@ def test_substring_dedup_is_brute_force(odd):
     assert sum(r.n_removed for r in got) > 1000
 
 
-def test_substring_dedup_does_not_hang_on_shards(documents, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "SPAN", 7)
+@pytest.mark.parametrize("span, hot_words", [(7, 300_000), (7, 400), (64, 0)])
+def test_substring_dedup_does_not_hang_on_shards(documents, monkeypatch, span, hot_words):
+    monkeypatch.setattr(substring_dedup, "SPAN", span)
     from quern.llm.scratch import Scratch
 
-    spans = substring_dedup.removed_spans(documents, Scratch(documents.sparkSession), shard_words=500)
+    spans = substring_dedup.removed_spans(documents, Scratch(documents.sparkSession), shard_words=500, hot_words=hot_words)
     want = {i: n for i, _, n, _ in brute.substring(rows_of(documents, "doc_id", "text")) if n}
     got = {r.doc_id: len({k for a, z in r.spans for k in range(a, z)}) for r in spans.collect()}
     assert got == want
 
 
+def test_shared_passage_in_many_contexts(spark):
+    """One passage in every document, between words of its own or of few others."""
+    from quern.llm.scratch import Scratch
+
+    passage = " ".join(f"p{i}" for i in range(70))
+    texts = [f"{' '.join(f'a{i % 5}x{j}' for j in range(60))} u{i} {passage} {' '.join(f'b{i % 7}y{j}' for j in range(30))} v{i}" for i in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = substring_dedup.removed_spans(df, Scratch(spark), hot_words=3_000)
+    got = {r.doc_id: len({k for a, z in r.spans for k in range(a, z)}) for r in spans.collect()}
+    assert got == {i: n for i, _, n, _ in brute.substring(list(enumerate(texts))) if n} and len(got) > 70
+
+
 # 3 and 7: tokens
 
 
