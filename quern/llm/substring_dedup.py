@@ -43,6 +43,7 @@ SEED = 8
 SPAN = 64  # windows of a segment, at most the bits of a long
 SHARD_WORDS = 600_000
 HOT_WORDS = 300_000
+SHARE = 1_000
 
 
 def _slide_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -154,10 +155,21 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _repeats_of_hot(windows: DataFrame) -> DataFrame:
+def _shared(rows: DataFrame, on: list[str], scratch: Scratch) -> DataFrame:
+    """The rows whose key more than one document has, with `lo`, the smallest of these.
+
+    Keys with more than a SHAREth of all rows, fewer than SHARE of them, are broadcast: their rows stay where they are.
+    """
+    found = rows.groupBy(*on).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("rows"))
+    found = scratch.keep(found.where("lo < hi").drop("hi"))
+    many = F.col("rows") > rows.count() // SHARE
+    often, rest = F.broadcast(found.where(many).drop("rows")), found.where(~many).drop("rows")
+    return rows.join(often, on).unionByName(rows.join(often, on, "left_anti").join(rest, on))
+
+
+def _repeats_of_hot(windows: DataFrame, scratch: Scratch) -> DataFrame:
     """What _repeats returns, from windows that meet by their whole hash; the bits of a long are the windows of a segment."""
-    least = windows.groupBy("mkey", "window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
-    hits = windows.join(least, ["mkey", "window"]).where("doc_id > lo")
+    hits = _shared(windows, ["mkey", "window"], scratch).where("doc_id > lo")
     bits = hits.groupBy("mkey", "seg").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("bits"))
     set_ = "filter(sequence(0, 63), i -> getbit(bits, i) = 1 AND (i = {} OR getbit(bits, {}) = 0))"
     runs = F.arrays_zip(F.expr(set_.format(0, "greatest(i - 1, 0)")).alias("a"), F.expr(set_.format(63, "least(i + 1, 63)")).alias("z"))
@@ -167,8 +179,7 @@ def _repeats_of_hot(windows: DataFrame) -> DataFrame:
 def removed_spans(docs: DataFrame, scratch: Scratch, shard_words: int = SHARD_WORDS, hot_words: int = HOT_WORDS) -> DataFrame:
     """doc_id, mark (a hash of the text) and spans, array of (a, z) in words, that are to be removed."""
     all_ = scratch.keep(_segments(docs))
-    shared = all_.groupBy("mkey").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("mkey")
-    found = scratch.keep(all_.join(shared, "mkey", "left_semi"))
+    found = scratch.keep(_shared(all_, ["mkey"], scratch).drop("lo"))
     scratch.drop(1)
     distinct = scratch.keep(
         found.groupBy("mkey", "seg").agg(F.min(F.struct("doc_id", "mark", "begin", "n")).alias("one"), F.max("doc_id").alias("hi"))
@@ -189,7 +200,7 @@ def removed_spans(docs: DataFrame, scratch: Scratch, shard_words: int = SHARD_WO
     inner = scratch.keep(dealt.mapInArrow(_repeats, "mkey long, seg long, a int, z int"))
     if n_hot:
         windows = texts_of(distinct.join(hot, "mkey", "left_semi")).mapInArrow(_windows, "mkey long, seg long, doc_id long, at int, window long")
-        inner = inner.unionByName(scratch.keep(_repeats_of_hot(scratch.keep(windows))))
+        inner = inner.unionByName(scratch.keep(_repeats_of_hot(scratch.keep(windows), scratch)))
     whole = (
         found.join(distinct.where("doc_id < hi").select("mkey", "seg", F.col("doc_id").alias("lo")), ["mkey", "seg"])
         .where("doc_id > lo").select("doc_id", "mark", F.col("begin").alias("a"), (F.col("begin") + F.col("n")).alias("z"))
