@@ -9,6 +9,8 @@ an empty set that links with nothing.  Two sets link when 100 * shared >= 85 * u
 3. Within a posting list collisions are counted over the whole signature, which travels with the posting.  A class
    that is already connected to the rest of its list is skipped.  A list emits edges of a forest only, fewer than its
    members.  A list over HOT members is first dealt again by pairs of coordinates, where the same prefix rule holds.
+   In a list that is still longer, members that match its smallest class are linked to it, in parallel; only the others
+   are left to be compared with the whole list, in pairs of blocks of HOT.
    At a similarity of 0.85 a pair misses 10 or fewer of 24 coordinates but for 3 in 10,000 pairs.
 4. Components of these edges are clusters, outside of which no link can be.  Each is cut into blocks of BLOCK classes;
    a task has two blocks, with the whole texts, counts shared runs through an inverted list and emits a forest of
@@ -130,6 +132,24 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
 
+def _cut_long(posted: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(edges of lists over HOT members to their smallest class, postings): of those lists only what these edges leave open is posted, by blocks."""
+    posted = scratch.keep(posted)
+    lists = posted.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("rep", "sig")).alias("least")).where(F.col("size") > HOT)
+    lists = scratch.keep(lists)
+    same = f"aggregate(sequence(0, {COORDS - 1}), 0, (k, c) -> k + IF(substring(sig, 2 * c + 1, 2) = substring(least.sig, 2 * c + 1, 2), 1, 0))"
+    long = scratch.keep(posted.join(lists, "key").select("key", "rep", "sig", "size", F.col("least.rep").alias("least"), F.expr(f"{same} >= {MATCH}").alias("near")))
+    open_ = scratch.keep(long.where("NOT near").groupBy("key").agg(F.count("*").alias("others")))
+    blocks = lambda n: F.ceil(F.col(n) / HOT).cast("int")
+    left = long.join(open_, "key").withColumns({"of_all": blocks("size"), "of_others": blocks("others")})
+    count = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    met = left.select("key", "rep", "sig", own("of_all").alias("x"), count("of_others").alias("y"))
+    met = met.unionByName(left.where("NOT near").select("key", "rep", "sig", count("of_all").alias("x"), own("of_others").alias("y")))
+    rest = posted.join(lists.select("key"), "key", "left_anti").select("key", "rep", "sig")
+    return long.where("near").select(F.col("least").alias("a"), F.col("rep").alias("b")), rest.unionByName(met.select(F.xxhash64("key", "x", "y").alias("key"), "rep", "sig"))
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in whole_groups(batches, ["cluster", "x", "y"]):
         cols = [t[c].to_numpy() for c in ("cluster", "x", "y")]
@@ -174,10 +194,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     again = posted.where("hot").select(
         F.explode(F.expr(f"transform(sequence(0, {PREFIX}), c -> xxhash64(key, c, substring(sig, 2 * c + 1, 2)))")).alias("key"), "rep", "sig"
     )
+    edges, again = _cut_long(again, scratch)
     posted = posted.where("hot IS NULL").select("key", "rep", "sig").unionByName(again)
-    edges = (
-        posted.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates, "a long, b long")
-    )
+    edges = edges.unionByName(posted.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates, "a long, b long"))
     clusters = scratch.keep(components(edges, scratch))
     sizes = clusters.groupBy("component").count().select("component", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     placed = clusters.join(sizes, "component").select(

@@ -239,9 +239,10 @@ def test_near_duplicates_are_brute_force(documents):
     assert sum(not r.kept for r in got.values()) > 30
 
 
-def test_near_duplicates_in_small_blocks(documents, monkeypatch):
+@pytest.mark.parametrize("hot", [3, 10])
+def test_near_duplicates_in_small_blocks(documents, monkeypatch, hot):
     monkeypatch.setattr(minhash, "BLOCK", 7)
-    monkeypatch.setattr(minhash, "HOT", 10)
+    monkeypatch.setattr(minhash, "HOT", hot)
     want = brute.near(rows_of(documents, "doc_id", "text"))
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(documents).collect()} == want
 
