@@ -106,12 +106,12 @@ def vector_topk_scoped(spark, sf_dir):
     return got.select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH a AS ({_UNIT}), q AS (SELECT vec_id AS query_id, v FROM a WHERE vec_id < 20), s AS (SELECT query_id, vec_id, {_COS} AS score FROM a, q),
+@query(f"""WITH a AS ({_UNIT}), q AS (SELECT vec_id AS query_id, v FROM a WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, {_COS} AS score FROM a, q),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 6""")
 def vector_topk_batch(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
-    queries = rows.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return vector.top_k_batch(rows, queries, key="vec_id").select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
@@ -343,7 +343,9 @@ def proposal_gates(spark, sf_dir):
     return classify.gate(made, docs).select("src_title", "target", "outcome")
 
 
-@query()
+@query(C + """, g AS (SELECT * FROM d WHERE doc_family = '법규체'), t AS (
+SELECT a.doc_key, a.doc_title, a.text, b.doc_title AS target FROM g a JOIN g b ON a.doc_key <> b.doc_key AND contains(regexp_replace(a.text, '\\s+', '', 'g'), b.doc_title))
+SELECT doc_title AS src_title, substr(sha1(text), 1, 12) AS content_hash, CAST(count(DISTINCT target) AS INTEGER) AS n_targets FROM t WHERE doc_key % 2 <> 0 GROUP BY 1, 2""")
 def proposals_missing(spark, sf_dir):
     docs = built(spark, sf_dir).documents
     cache = docs.where("doc_ord % 2 = 0").select(F.col("title").alias("src_title"), ids.content_hash(F.col("text")).alias("content_hash"))
@@ -470,7 +472,7 @@ def sse_events(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(events)), "n int, event string")
 
 
-@query()
+@query("SELECT '' AS s, '' AS p, '' AS o, '' AS kind, '' AS only WHERE false")
 def turtle_roundtrip(spark, sf_dir):
     """Triples that a written and reread graph lacks or has besides: none."""
     from quern.sinks.store import shared_dir
