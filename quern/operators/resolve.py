@@ -14,15 +14,21 @@ from quern.functions.text import norm, strip
 
 
 def grams(c: Column, size: int) -> Column:
-    """The different substrings of `size` characters, in one pass over the text."""
-    return F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)(?=(.{%d}))" % size), F.lit(1)))
+    """The substrings of `size` characters, in one pass over the text."""
+    return F.regexp_extract_all(c, F.lit("(?s)(?=(.{%d}))" % size), F.lit(1))
 
 
 def containing(texts: DataFrame, text: str, keys: DataFrame, key: str, size: int) -> DataFrame:
-    """Rows of texts and keys where texts.text contains keys.key; keys shorter than `size` take no part."""
-    left = texts.withColumn("__gram", F.explode(grams(F.col(text), size)))
+    """Rows of texts and keys where texts.text contains keys.key; keys shorter than `size` take no part.
+
+    Grams travel with a hash of their text, not with the text; only texts with a key's first gram are joined again, and
+    `contains` decides, so equal hashes do no harm.
+    """
     right = keys.where(F.length(key) >= size).withColumn("__gram", F.substring(key, 1, size))
-    return left.join(right, "__gram").where(F.contains(F.col(text), F.col(key))).drop("__gram")
+    found = texts.select(F.xxhash64(text).alias("__hash"), F.explode(grams(F.col(text), size)).alias("__gram"))
+    found = found.join(right.select("__gram").distinct(), "__gram", "left_semi").distinct()
+    pairs = found.join(right, "__gram").drop("__gram")
+    return texts.withColumn("__hash", F.xxhash64(text)).join(pairs, "__hash").where(F.contains(F.col(text), F.col(key))).drop("__hash")
 
 
 def registry(documents: DataFrame) -> DataFrame:

@@ -194,3 +194,12 @@ def test_top_k_breaks_ties_by_key(spark):
     assert [r.row_id for r in vector.top_k(rows, [1.0, 0.0], 2).withColumn("score", F.round("score", 6)).collect()][:2] == [1, 3]
     batch = vector.top_k_batch(rows, spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, query array<float>"), 2)
     assert {r.row_id for r in batch.collect()} == {1, 3}
+
+
+def test_containment_is_brute_force(spark):
+    texts = [(1, "가나다라마바사"), (2, "가나다라마바사"), (3, None), (4, ""), (5, "다라마"), (6, "xx가나다가나다라\n마바"), (6, "xx가나다가나다라\n마바")]
+    keys = [(1, "가나다"), (2, "다라마바"), (3, "나다"), (4, ""), (5, None), (6, "다라\n마"), (7, "가나다"), (8, "가나다라마바사")]
+    got = containing(spark.createDataFrame(texts, "id int, text string"), "text", spark.createDataFrame(keys, "k int, key string"), "key", 3)
+    want = [(i, t, k, y) for i, t in texts for k, y in keys if t and y and len(y) >= 3 and y in t]
+    assert got.columns == ["id", "text", "k", "key"] and sorted(map(tuple, got.collect())) == sorted(want)
+    assert containing(spark.createDataFrame([], "id int, text string"), "text", spark.createDataFrame(keys, "k int, key string"), "key", 3).isEmpty()
