@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,6 +197,22 @@ def test_top_k_breaks_ties_by_key(spark):
     assert {r.row_id for r in batch.collect()} == {1, 3}
 
 
+def test_batch_top_k_takes_any_number_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(vector, "ROWS", 20, raising=False)
+    monkeypatch.setattr(vector, "QUERIES", 4_000, raising=False)
+    rng = np.random.default_rng(1)
+    v, q = rng.standard_normal((50, 4)), rng.standard_normal((10_050, 4))
+    v[30:45] = v[3]  # ties go by key
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "row_id long, embedding array<double>")
+    queries = spark.createDataFrame([(i, x) for i, x in enumerate(q.tolist())], "query_id long, query array<double>")
+    got = vector.top_k_batch(rows, queries, 6).orderBy("query_id", "rank").collect()
+    score = np.round((q / np.linalg.norm(q, axis=1, keepdims=True)) @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T, 8)
+    want = np.argsort(-score, axis=1, kind="stable")[:, :6]
+    assert [r["rank"] for r in got] == [1, 2, 3, 4, 5, 6] * 10_050
+    assert [r.row_id for r in got] == want.ravel().tolist()
+    assert vector.top_k_batch(rows, queries.limit(0)).isEmpty() and vector.top_k_batch(rows.limit(0), queries.limit(3)).isEmpty()
+
+
 def test_containment_is_brute_force(spark):
     texts = [(1, "가나다라마바사"), (2, "가나다라마바사"), (3, None), (4, ""), (5, "다라마"), (6, "xx가나다가나다라\n마바"), (6, "xx가나다가나다라\n마바")]
     keys = [(1, "가나다"), (2, "다라마바"), (3, "나다"), (4, ""), (5, None), (6, "다라\n마"), (7, "가나다"), (8, "가나다라마바사")]
