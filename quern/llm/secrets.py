@@ -6,7 +6,8 @@ decoded and its structure holds:
 * der: base64 or hex that decodes to an ASN.1 SEQUENCE whose nested lengths fill it exactly and that holds an INTEGER
   or an OBJECT IDENTIFIER, as private and public keys do;
 * jwt: three dotted base64url parts, the first a JSON object with a text `alg`, the second a JSON object;
-* pem: an armoured private key, its body valid base64;
+* pem: an armoured private key, its body base64 of one of these or of an OpenSSH key, or said to be encrypted by its headers;
+  its line breaks may be escaped as in JSON;
 * ssh: base64 of length-prefixed fields that fill it exactly, the first naming a key type.
 
 Spans count code points, ends exclusive.  A null or empty text has none; very long texts are scanned whole, in one
@@ -39,7 +40,8 @@ _HEX = re.compile(r"[0-9a-f]+")
 _HEX_ANY = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{2}){24,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9A-F]{2}){24,}(?![0-9A-Za-z])")
 _B64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]+)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*+(?:-(?!----)[^-]*+)*+)-----END \1-----")
+_DEK = re.compile(r"Proc-Type:\s*4,\s*ENCRYPTED\s(?:.{0,200}\s)?DEK-Info:\s*[A-Za-z0-9-]+(?:,\s*[0-9A-Fa-f]+)?(?=\s)")
 
 _RUN = np.zeros((3, 256), bool)
 _RUN[0, [*b"0123456789abcdef"]] = True
@@ -108,6 +110,17 @@ def _object(data: bytes | None) -> dict | None:
     return x if isinstance(x, dict) else None
 
 
+def _is_pem(body: str) -> bool:
+    """Whether what stands between the lines of a PEM text is a key: DER, OpenSSH's form, or anything once a header says it
+    is encrypted.  Line breaks may be escaped as in JSON; lines with a colon are headers."""
+    body = re.sub(r"\\+(?=/)", "", re.sub(r"\\+[nr]", "\n", body))
+    encrypted = _DEK.search(body)
+    if encrypted:
+        body = body[encrypted.end() :]
+    data = _b64("".join("".join(x.split()) for x in body.splitlines() if ":" not in x)) or b""
+    return _is_der(data) or data.startswith(b"openssh-key-v1\0") or bool(encrypted and len(data) > 20)
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Leftmost non-overlapping matches of each base kind that are long enough."""
     return [
@@ -121,9 +134,8 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """Candidates whose decoded structure holds."""
     out = []
     for m in _PEM.finditer(text):
-        if data := _b64(re.sub(r"\s+", "", m[2])):
-            if _is_der(data) or data.startswith(b"openssh-key-v1\0"):
-                out.append(("pem", *m.span()))
+        if _is_pem(m[2]):
+            out.append(("pem", *m.span()))
     for m in _JWT.finditer(text):
         head, body, _ = m[0].split(".")
         if isinstance((_object(_b64(head, True)) or {}).get("alg"), str) and _object(_b64(body, True)) is not None:

@@ -219,6 +219,28 @@ def test_secrets_are_confirmed_by_structure():
     assert not found("x " + base64.b64encode(bytes(range(90))).decode() + " eyJhbGciOiJub25l.eyJh.x " + der().hex()[:-2] + " 00")
 
 
+def pems():
+    """Keys as in JSON (escaped once and twice) and with the headers of the older encrypted form."""
+    good = base64.b64encode(b"\x30\x81\xcc" + (b"\x02\x20" + bytes(range(1, 33))) * 6).decode()
+    lines = [good[i : i + 64] for i in range(0, len(good), 64)]
+    sealed = base64.b64encode(bytes(x * 37 % 251 for x in range(160))).decode()
+    sealed = [sealed[i : i + 64] for i in range(0, len(sealed), 64)]
+    plain = "\n".join(["-----BEGIN PRIVATE KEY-----", *lines, "-----END PRIVATE KEY-----", ""])
+    legacy = ["-----BEGIN RSA PRIVATE KEY-----", "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF", "", *sealed, "-----END RSA PRIVATE KEY-----"]
+    texts = [plain, plain.replace("\n", "\\n"), plain.replace("\n", "\\r\\n"), json.dumps(json.dumps(plain.replace("/", "\\/"))), "\n".join(legacy), "\r\n".join(legacy), "\\n".join(legacy), " ".join(legacy)]
+    return [(t, t[t.index("-----BEGIN") : t.rindex("KEY-----") + 8]) for t in texts]
+
+
+def test_secrets_find_keys_with_escaped_breaks_and_headers(spark):
+    for text, key in pems():
+        text = '{"private_key": "' + text + '"}'
+        assert ("pem", key) in {(k, text[a:b]) for k, a, b in secrets.scan(text)}
+    df = spark.createDataFrame([(i, f"a {t} z") for i, (t, _) in enumerate(pems())], "doc_id long, text string")
+    assert all("PRIVATE" not in r.text and "<pem>" in r.text for r in secrets.redact(df).collect())
+    bad = ["Proc-Type: 4,ENCRYPTED\n\nAAAA", "DEK-Info: AES-128-CBC,00\n\n" + "QUFB" * 20, "not\\na key", "a-b: c", ""]
+    assert not any(k == "pem" for b in bad for k, *_ in secrets.scan(f"-----BEGIN PRIVATE KEY-----\n{b}\n-----END PRIVATE KEY-----"))
+
+
 def test_secrets_over_a_table(odd, spark):
     texts = [f"key {jwt()}", "token: abcdefghij", "a" * 40, None, "", "xé " * 50 + "0123456789abcdef" * 2 + "-", "Secret=" + "k" * 100_000]
     df = odd.select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(texts, -99)), "doc_id long, text string"))
