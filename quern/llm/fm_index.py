@@ -99,13 +99,14 @@ class FMIndex:
         self.smallest = np.minimum.reduceat(by, self.begins) if n else by
 
     def matches(self) -> np.ndarray:
-        """For every position of the indexed text at which a window starts, the smallest owner of that window (others: -1).
+        """For every position of the indexed text at which a window starts, the smallest owner of that window (others:
+        the largest long, which is below no owner).
 
         Streams all sequences backwards together.  The interval of the suffixes that start with the symbols read is
         extended by the next symbol on the left; once it is longer than a window it is cut back to one, the group of
         its suffixes.  Every sequence is itself in the index, so no interval ever runs empty.
         """
-        out = np.full(len(self.text), -1, np.int64)
+        out = np.full(len(self.text), np.iinfo(np.int64).max)
         at = np.argsort(self.first - self.last, kind="stable")  # longest first
         first, pos = self.first[at], self.last[at].copy()
         n = len(self.text)

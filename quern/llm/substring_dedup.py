@@ -140,7 +140,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = FMIndex(values, (cut - cut[0]).astype(np.int64), owner, WINDOW)
         best = index.matches()
         who = np.repeat(np.arange(len(owner)), index.last - index.first + 1)
-        hit = np.flatnonzero((best >= 0) & (best < owner[who]))
+        hit = np.flatnonzero(best < owner[who])
         if not len(hit):
             continue
         gap = np.ones(len(hit), bool)

@@ -102,6 +102,16 @@ def test_shared_passage_in_many_contexts(spark):
     assert got == {i: n for i, _, n, _ in brute.substring(list(enumerate(texts))) if n} and len(got) > 70
 
 
+def test_substring_dedup_takes_negative_and_extreme_ids(spark):
+    passage = " ".join(f"p{i}" for i in range(70))
+    ids = [3, -5, -(2**63), 2**63 - 1, 0, -1]
+    rows = [(i, f"{' '.join(f'a{n}x{j}' for j in range(40))} {passage} {' '.join(f'b{n}y{j}' for j in range(30))}") for n, i in enumerate(ids)]
+    for part in (rows[:2], rows[:2] + rows[3:], rows):
+        got = substring_dedup.remove_repeats(spark.createDataFrame(part, "doc_id long, text string")).collect()
+        assert {(r.doc_id, r.n_words, r.n_removed, brute.sha(r.kept_text)) for r in got} == set(brute.substring(part))
+        assert sum(r.n_removed for r in got) == 70 * (len(part) - 1)
+
+
 # 3 and 7: tokens
 
 
