@@ -61,6 +61,17 @@ def test_vector_links_are_brute_force(vectors, monkeypatch):
         assert sum(got[i][1] != want[i][1] for i in want) <= 5
 
 
+def test_collisions_are_those_in_sorted_windows():
+    rng = np.random.default_rng(2)
+    left, right = rng.standard_normal((10, 40)).round(1), rng.standard_normal((10, 300)).round(1)
+    right[:, 200:] = 0.5  # many equal projections
+    for least in (1, 4, 7):
+        count = (np.abs(left[:, :, None] - right[:, None, :]) <= 0.75).sum(axis=0)
+        got = list(vector_dedup.colliding(left, right, 0.75, least))
+        assert [g.tolist() for g in got] == [np.flatnonzero(c >= least).tolist() for c in count]
+    assert [len(g) for g in vector_dedup.colliding(left, right[:, :0], 0.75, 1)] == [0] * 40
+
+
 def test_least_count():
     assert vector_dedup.least_count(10, 1.0) == 10 and 4 <= vector_dedup.least_count(10, 0.9) <= 7
 
