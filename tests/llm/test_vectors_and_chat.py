@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -72,6 +73,21 @@ def test_collisions_are_those_in_sorted_windows():
     assert [len(g) for g in vector_dedup.colliding(left, right[:, :0], 0.75, 1)] == [0] * 40
 
 
+def test_recall_of_vector_links_does_not_fall_with_the_grid(spark, monkeypatch):
+    """Pairs just over the threshold, in a table that is dealt by one projection or by six."""
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a = unit(rng.standard_normal((5_000, 24)))
+    side = rng.standard_normal(a.shape)
+    side = unit(side - (side * a).sum(axis=1, keepdims=True) * a)
+    b = 0.9501 * a + math.sqrt(1 - 0.9501**2) * side
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(np.concatenate([a, b]).tolist())], "vec_id long, embedding array<double>").repartition(8)
+    for cell in (20_000, 50):
+        monkeypatch.setattr(vector_dedup, "CELL", cell)
+        lost = vector_dedup.link_vectors(df).where("n_links = 0").count() / 2
+        assert lost <= 10
+
+
 def test_least_count():
     assert vector_dedup.least_count(10, 1.0) == 10 and 4 <= vector_dedup.least_count(10, 0.9) <= 7
 
