@@ -1,7 +1,7 @@
-"""An FM-index over sequences of symbols, with a wavelet matrix for its rank queries.
+"""A compressed FM-index over sequences of symbols, with a code-shaped wavelet tree for its rank queries.
 
 The index holds many sequences, each ended by a symbol of its own class, below all others.  Suffixes are sorted by
-their first DEPTH symbols, which is all that backward search up to that length asks of them.
+their first symbols, as many as a window has and one more, which is all that backward search up to that length asks.
 """
 
 from __future__ import annotations
@@ -19,34 +19,72 @@ def _dense(key: np.ndarray) -> np.ndarray:
 
 
 class Wavelet:
-    """A wavelet matrix: packed bits of each level with a count before every 64 of them."""
+    """A wavelet tree shaped by a prefix code: a symbol that makes up a share p of the sequence has a code of
+    ceil(-log2 p) bits, so the levels hold n * (H0 + 1) bits at most, H0 being the entropy of the symbols.
+
+    Codes are dealt in the order of their lengths, so at each level the symbols that have no bits left come first and
+    are cut off.  A level is packed bits with a count before every 64 of them, and where each symbol's node begins.
+    """
 
     def __init__(self, symbols: np.ndarray, sigma: int):
-        self.n = n = len(symbols)
-        self.levels = max(1, int(sigma - 1).bit_length())
-        self.words, self.counts, self.zeros = [], [], []
-        s = symbols
-        for level in range(self.levels - 1, -1, -1):
-            bit = (s >> level & 1).astype(bool)
-            padded = np.zeros((n // 64 + 1) * 64, bool)
-            padded[:n] = bit
+        n = len(symbols)
+        count = np.bincount(symbols, minlength=sigma)
+        length = np.maximum(np.ceil(np.log2(np.maximum(-(-n // np.maximum(count, 1)), 1))).astype(np.int64), 1)
+        by = np.argsort(length, kind="stable")
+        #: of each symbol, its place in the order of codes
+        self.place = np.empty(sigma, np.int64)
+        self.place[by] = np.arange(sigma)
+        self.length = length[by]
+        m = int(self.length[-1]) if sigma else 0
+        width = np.where(count[by] > 0, np.int64(1) << (m - self.length), 0)  # a symbol that never occurs needs no code
+        code = np.cumsum(width) - width
+        total = np.concatenate([[0], np.cumsum(count[by])])
+        self.levels = []
+        s = self.place[symbols]
+        for level in range(m):
+            gone = int(np.searchsorted(self.length, level, "right"))  # symbols before it have no bit here
+            prefix = code >> (m - level)
+            lo = total[np.maximum(np.searchsorted(prefix, prefix, "left"), gone)] - total[gone]
+            hi = total[np.maximum(np.searchsorted(prefix, prefix, "right"), gone)] - total[gone]
+            size = len(s)
+            bit = (code[s] >> (m - 1 - level) & 1).astype(bool)
+            padded = np.zeros((size // 64 + 1) * 64, bool)
+            padded[:size] = bit
             words = np.packbits(padded, bitorder="little").view(np.uint64)
-            self.words.append(words)
-            self.counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)[:-1]]))
-            self.zeros.append(n - int(bit.sum()))
-            s = np.concatenate([s[~bit], s[bit]])
-        values, at = np.unique(s, return_index=True)
-        self.start = np.zeros(sigma, np.int64)
-        self.start[values] = at
+            counts = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)[:-1]]).astype(np.int32)
+            ones = np.concatenate([[0], np.cumsum(bit)])
+            lo, hi = np.minimum(lo, size), np.minimum(hi, size)
+            self.levels.append((words, counts, lo.astype(np.int32), ones[lo].astype(np.int32), (code >> (m - 1 - level) & 1).astype(bool)))
+            # a stable deal of every node to its halves; those whose code ends stand first and go
+            left = (hi - lo) - (ones[hi] - ones[lo])
+            before = ones[:-1] - ones[lo[s]]
+            to = lo[s] + np.where(bit, left[s] + before, np.arange(size) - lo[s] - before)
+            out = np.empty(size, s.dtype)
+            out[to] = s
+            s = out[np.searchsorted(self.length[out], level + 1, "right") :]
 
     def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         """How often each symbol occurs before position i."""
-        for level, words, counts, zeros in zip(range(self.levels - 1, -1, -1), self.words, self.counts, self.zeros):
-            block = i >> 6
-            below = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-            ones = counts[block] + np.bitwise_count(words[block] & below)
-            i = np.where(symbol >> level & 1, zeros + ones, i - ones)
-        return i - self.start[symbol]
+        s, r = self.place[symbol], i.astype(np.int64)
+        out, who = r.copy(), None
+        for level, (words, counts, lo, ones, one) in enumerate(self.levels):
+            more = self.length[s] > level
+            if not more.all():
+                end = ~more
+                out[np.flatnonzero(end) if who is None else who[end]] = r[end]
+                who = np.flatnonzero(more) if who is None else who[more]
+                s, r = s[more], r[more]
+                if not len(s):
+                    return out
+            at = lo[s] + r
+            block = at >> 6
+            below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+            n = counts[block] + np.bitwise_count(words[block] & below) - ones[s]
+            r = np.where(one[s], n, r - n)
+        if who is None:
+            return r
+        out[who] = r
+        return out
 
 
 class FMIndex:

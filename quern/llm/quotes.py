@@ -70,8 +70,7 @@ def _threads(parents: DataFrame, scratch: Scratch, most: int = 40) -> DataFrame:
         moved = state.where("NOT done").join(up, ["a_conv", "a_turn"]).select(
             "conv_id", "turn", F.col("b_conv").alias("a_conv"), F.col("b_turn").alias("a_turn"), (F.col("depth") + F.col("more")).alias("depth"), F.col("last").alias("done")
         )
-        old = scratch.n
-        state = scratch.keep(state.where("done").unionByName(moved))
+        old, state = state, scratch.keep(state.where("done").unionByName(moved))
         scratch.drop(old)
     else:
         raise RuntimeError(f"threads did not settle in {most} rounds")

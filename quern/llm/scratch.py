@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,33 +11,54 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
+    """The folder in spark.checkpoint.dir.  Where it is unset, a folder of our own, but only if driver and executors are
+    one process; on a cluster each executor would write to its own disk, so that is refused."""
     where = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Tables written for one run of an operator.  A written table is read by later jobs in place of
     its lineage, so a lost executor costs no more than the job at hand."""
 
+    _roots: list[tuple[str, str]] = []
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
         self.n = 0
+        self._roots.append((spark.sparkContext.applicationId, self.root))
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
-        self.last = f"{self.root}/{self.n}"
-        df.write.parquet(self.last)
-        return self.spark.read.schema(df.schema).parquet(self.last)
+        path = f"{self.root}/{self.n}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._scratch_path = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Removes kept tables, once nothing reads them any more."""
+        for df in tables:
+            _delete(self.spark, df._scratch_path)
 
-    def drop(self, n: int) -> None:
-        """Removes the n-th table, once nothing reads it any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    @classmethod
+    def clear(cls, spark: SparkSession) -> None:
+        """Removes all tables of this application.  Results of operators read them: call it once those are written."""
+        app = spark.sparkContext.applicationId
+        for _, root in [x for x in cls._roots if x[0] == app]:
+            _delete(spark, root)
+        cls._roots[:] = [x for x in cls._roots if x[0] != app]
 
 
 def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
@@ -60,7 +82,7 @@ def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = scratch.keep(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         said = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        old, e = scratch.n - 1, new
+        old, e = e, new
         scratch.drop(old)
         if said == seen:
             break

@@ -1,4 +1,4 @@
-"""Operator 2, substring deduplication with an FM-index for each shard.
+"""Operator 2, substring deduplication with a compressed FM-index for each shard.
 
 A window is 50 consecutive words of one document.  Every word is removed that is covered by a window whose word
 sequence also starts in a document with a smaller doc_id.
@@ -7,20 +7,21 @@ sequence also starts in a document with a smaller doc_id.
    they stand.  Neighbouring windows with one smallest hash form a segment (at most SPAN of them); a segment is known by
    a hash of its words.
 2. Smallest hashes of which only one document has any are done with: no window there repeats elsewhere.
-3. Of the rest, each different segment is taken from the text once, for the smallest doc_id that has it, and sent to the
-   shard of its smallest hash.  Shards hold about SHARD_WORDS words, however many documents there are.
-4. A shard builds a compressed FM-index (wavelet matrix) over its segments, streams them through it by backward search
-   and reports for every window the smallest doc_id in its interval.
-5. A smallest hash whose different segments hold over HOT_WORDS words (a passage that many documents share, each in
-   another context) is too much for one shard: its segments are cut again into segments of one window, dealt by the
-   hash of the whole window.  Those of one document are done with as in 2; of equal ones all but the first lose their
-   words as in 6.  Only sums of bits for each segment come back, so no task holds such a group.
-6. A segment's other documents lose all its words, its first one only windows with a still smaller doc_id; intervals
-   go back to their documents, which are cut in one last pass.
+3. A smallest hash whose different segments hold over HOT_WORDS words (a passage that many documents share, each in
+   another context) is too much for one shard: its windows are dealt anew by the hash of all their words, each a segment
+   of its own, and those of one document are done with as in 2.  The texts are read once more for them, not shuffled.
+4. Of the rest, each different segment is taken from the text once, for the smallest doc_id that has it, and sent to the
+   shard of its hash.  Shards hold about SHARD_WORDS words, however many documents there are.
+5. A shard builds a compressed FM-index (a wavelet tree shaped by the words' frequencies) over its segments and streams
+   them through it by backward search.  Where the matching statistic reaches a whole window, the smallest doc_id in the
+   interval is reported; neighbouring windows with one answer are one report.
+6. Each document that has the segment loses what is reported with a smaller doc_id than its own; documents are cut in
+   one last pass.  Every removal, of first holders and of copies alike, is the report of an interval.
 
 A null text has no words.  Rows with a null doc_id are returned whole and make no other row lose words.  Documents
-under 50 words are returned whole.  Rows that share a doc_id are one document to the rule, since none has a smaller
-id; each is cut by its own text.  Other columns are ignored.
+under 50 words are returned whole; an empty table gives no rows.  Rows that share a doc_id are one document to the rule, since none has a smaller
+id; each is cut by its own text.  Other columns are ignored, whatever their names.  A very long text takes some 100 bytes of a worker's
+memory for each of its words.
 """
 
 from __future__ import annotations
@@ -43,6 +44,10 @@ SEED = 8
 SPAN = 64  # windows of a segment, at most the bits of a long
 SHARD_WORDS = 600_000
 HOT_WORDS = 300_000
+#: Hot smallest hashes that all tasks are told at once; more of them take more rounds.
+HOT_KEYS = 1_000_000
+#: Words of an Arrow batch that go out together.
+PACK = 250_000
 SHARE = 1_000
 
 
@@ -55,6 +60,10 @@ def _slide_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(x) - width + 1], m[width - w : width - w + len(x) - width + 1]) if width > w else m
 
 
+def _marked(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("mark"), "text")
+
+
 def _segments(docs: DataFrame) -> DataFrame:
     """mkey, seg (a hash of its words), doc_id, row_hash, begin and n (words): all segments of all documents."""
 
@@ -87,71 +96,79 @@ def _segments(docs: DataFrame) -> DataFrame:
                     names=["mkey", "seg", "doc_id", "mark", "begin", "n"],
                 )
 
-    inner = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    return inner.mapInArrow(run, "mkey long, seg long, doc_id long, mark long, begin int, n int")
+    return _marked(docs).mapInArrow(run, "mkey long, seg long, doc_id long, mark long, begin int, n int")
+
+
+def _windows(docs: DataFrame, keys: np.ndarray) -> DataFrame:
+    """window (a hash of its words), doc_id, mark and begin of all windows whose smallest hash is one of `keys` (sorted)."""
+    shared = docs.sparkSession.sparkContext.broadcast(keys.view(np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = np.sort(shared.value)
+        for b in batches:
+            for at, _, data, offsets in tv.slices(b.column(2)):
+                words = tv.Words(data, offsets)
+                win = tv.inside(words.first, WINDOW)
+                if not len(win):
+                    continue
+                h = words.hashes()
+                least = _slide_min(tv.runs(h, SEED), WINDOW - SEED + 1)[win]
+                win = win[hot[np.minimum(np.searchsorted(hot, least), len(hot) - 1)] == least]
+                of = np.searchsorted(words.first, win, "right") - 1
+                take = pa.array(at + of)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(tv.runs(h, WINDOW)[win].view(np.int64)), b.column(0).take(take), b.column(1).take(take), pa.array((win - words.first[of]).astype(np.int32))],
+                    names=["window", "doc_id", "mark", "begin"],
+                )
+
+    return _marked(docs).mapInArrow(run, "window long, doc_id long, mark long, begin int")
 
 
-def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, pa.Array]]:
-    """(word hashes of a slice of texts; the segments asked for, the first word and the number of words of each, its doc_id)."""
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The word hashes of each segment asked for."""
     for b in batches:
         asked = b.column(2)
         for at, end, data, offsets in tv.slices(b.column(1)):
             words = tv.Words(data, offsets)
+            h = words.hashes()
             own = asked.slice(at, end - at)
             flat = own.flatten()
             k = np.diff(own.offsets.to_numpy())
             begin = flat.field("begin").to_numpy() + np.repeat(words.first[:-1], k)
+            n = flat.field("n").to_numpy().astype(np.int64)
             doc = b.column(0).slice(at, end - at).take(pa.array(np.repeat(np.arange(end - at), k)))
-            yield words.hashes(), flat, begin, flat.field("n").to_numpy().astype(np.int64), doc
-
-
-def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The word hashes of each segment asked for."""
-    for h, flat, begin, n, doc in _asked(batches):
-        ends = np.cumsum(n)
-        packed = h[np.repeat(begin - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
-        cut = np.concatenate([[0], ends * 8]).astype(np.int32)
-        words_of = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(cut), pa.py_buffer(packed)])
-        yield pa.RecordBatch.from_arrays([flat.field("mkey"), flat.field("seg"), doc, words_of], names=["mkey", "seg", "doc_id", "words"])
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of the segments asked for: its place in the segment and the hash of its words."""
-    for h, flat, begin, n, doc in _asked(batches):
-        whole = tv.runs(h, WINDOW)
-        k = n - WINDOW + 1
-        ends = np.cumsum(k)
-        of = np.repeat(np.arange(len(k)), k)
-        at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - k, k)
-        take = pa.array(of)
-        yield pa.RecordBatch.from_arrays(
-            [flat.field("mkey").take(take), flat.field("seg").take(take), doc.take(take), pa.array(at.astype(np.int32)), pa.array(whole[begin[of] + at].view(np.int64))],
-            names=["mkey", "seg", "doc_id", "at", "window"],
-        )
+            edge = [0, *(np.flatnonzero(np.diff(np.cumsum(n) // PACK)) + 1).tolist(), len(n)]
+            for lo, hi in zip(edge[:-1], edge[1:]):
+                ends = np.cumsum(n[lo:hi])
+                packed = h[np.repeat(begin[lo:hi] - (ends - n[lo:hi]), n[lo:hi]) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+                cut = np.concatenate([[0], ends * 8]).astype(np.int32)
+                words_of = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(cut), pa.py_buffer(packed)])
+                part = flat.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays(
+                    [part.field("mkey"), part.field("seg"), doc.slice(lo, hi - lo), part.field("hi"), words_of], names=["mkey", "seg", "doc_id", "hi", "words"]
+                )
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each segment the spans (in words) of its windows that a smaller doc_id than its own has."""
+    """For each segment the spans (in words) of neighbouring windows whose smallest doc_id, `lo`, is one and below that of
+    the last document that has the segment."""
     for t in whole_groups(batches, ["mkey"], rows=8_000):
         words = t["words"].combine_chunks()
         cut = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1 + words.offset)[words.offset :] // 8
         values = np.frombuffer(words.buffers()[2], np.uint64)[cut[0] : cut[-1]]
-        owner = t["doc_id"].to_numpy()
-        index = FMIndex(values, (cut - cut[0]).astype(np.int64), owner, WINDOW)
+        index = FMIndex(values, (cut - cut[0]).astype(np.int64), t["doc_id"].to_numpy(), WINDOW)
         best = index.matches()
-        who = np.repeat(np.arange(len(owner)), index.last - index.first + 1)
-        hit = np.flatnonzero(best < owner[who])
-        if not len(hit):
-            continue
-        gap = np.ones(len(hit), bool)
-        gap[1:] = (np.diff(hit) > 1) | (who[hit][1:] != who[hit][:-1])
-        lo = hit[gap]
-        hi = hit[np.append(gap[1:], True)]
-        s = who[lo]
+        who = np.repeat(np.arange(len(cut) - 1), index.last - index.first + 1)
+        hit = np.flatnonzero(best < t["hi"].to_numpy()[who])
+        new = np.ones(len(hit), bool)
+        new[1:] = (np.diff(hit) > 1) | (who[hit][1:] != who[hit][:-1]) | (best[hit][1:] != best[hit][:-1])
+        a = hit[new]
+        z = hit[np.append(new[1:], True)[: len(hit)]]
+        s = who[a]
         yield pa.RecordBatch.from_arrays(
-            [t["mkey"].combine_chunks().take(pa.array(s)), t["seg"].combine_chunks().take(pa.array(s)),
-             pa.array((lo - index.first[s]).astype(np.int32)), pa.array((hi - index.first[s] + WINDOW).astype(np.int32))],
-            names=["mkey", "seg", "a", "z"],
+            [t["mkey"].combine_chunks().take(pa.array(s)), t["seg"].combine_chunks().take(pa.array(s)), pa.array(best[a]),
+             pa.array((a - index.first[s]).astype(np.int32)), pa.array((z - index.first[s] + WINDOW).astype(np.int32))],
+            names=["mkey", "seg", "lo", "a", "z"],
         )
 
 
@@ -167,47 +184,50 @@ def _shared(rows: DataFrame, on: list[str], scratch: Scratch) -> DataFrame:
     return rows.join(often, on).unionByName(rows.join(often, on, "left_anti").join(rest, on))
 
 
-def _repeats_of_hot(windows: DataFrame, scratch: Scratch) -> DataFrame:
-    """What _repeats returns, from windows that meet by their whole hash; the bits of a long are the windows of a segment."""
-    hits = _shared(windows, ["mkey", "window"], scratch).where("doc_id > lo")
-    bits = hits.groupBy("mkey", "seg").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("bits"))
-    set_ = "filter(sequence(0, 63), i -> getbit(bits, i) = 1 AND (i = {} OR getbit(bits, {}) = 0))"
-    runs = F.arrays_zip(F.expr(set_.format(0, "greatest(i - 1, 0)")).alias("a"), F.expr(set_.format(63, "least(i + 1, 63)")).alias("z"))
-    return bits.select("mkey", "seg", F.inline(runs).alias("a", "z")).withColumn("z", F.col("z") + WINDOW)
+def _distinct(segments: DataFrame) -> DataFrame:
+    """One row for each different segment: where its smallest doc_id has it, and `hi`, the largest."""
+    one = F.min(F.struct("doc_id", "mark", "begin", "n")).alias("one")
+    return segments.groupBy("mkey", "seg").agg(one, F.max("doc_id").alias("hi")).select("mkey", "seg", "one.*", "hi")
+
+
+def _dealt_anew(docs: DataFrame, found: DataFrame, hot: DataFrame, n_hot: int, scratch: Scratch) -> DataFrame:
+    """`found` without the segments of hot smallest hashes, and with their windows that more than one document has."""
+    out = found.join(hot, "mkey", "left_anti")
+    rounds = -(-n_hot // HOT_KEYS)
+    for r in range(rounds):  # each sends the keys of a round to all tasks, HOT_KEYS longs or so
+        keys = hot.where(F.pmod(F.xxhash64("mkey"), F.lit(rounds)) == r).toPandas()["mkey"].to_numpy(np.int64)
+        if len(keys):
+            windows = scratch.keep(_windows(docs, keys))
+            part = _shared(windows, ["window"], scratch)
+            part = scratch.keep(part.select(F.col("window").alias("mkey"), F.col("window").alias("seg"), "doc_id", "mark", "begin", F.lit(WINDOW).alias("n")))
+            scratch.drop(windows)
+            out = out.unionByName(part)
+    return out
 
 
 def removed_spans(docs: DataFrame, scratch: Scratch, shard_words: int = SHARD_WORDS, hot_words: int = HOT_WORDS) -> DataFrame:
     """doc_id, mark (a hash of the text) and spans, array of (a, z) in words, that are to be removed."""
     all_ = scratch.keep(_segments(docs))
     found = scratch.keep(_shared(all_, ["mkey"], scratch).drop("lo"))
-    scratch.drop(1)
-    distinct = scratch.keep(
-        found.groupBy("mkey", "seg").agg(F.min(F.struct("doc_id", "mark", "begin", "n")).alias("one"), F.max("doc_id").alias("hi"))
-        .select("mkey", "seg", "one.*", "hi")
-    )
+    scratch.drop(all_)
+    distinct = scratch.keep(_distinct(found))
     sizes = scratch.keep(distinct.groupBy("mkey").agg(F.sum("n").alias("words")))
     hot = sizes.where(F.col("words") > hot_words).select("mkey")
-    words, n_hot = sizes.agg(F.sum(F.when(F.col("words") <= hot_words, F.col("words"))), F.count_if(F.col("words") > hot_words)).first()
-
-    def texts_of(segments: DataFrame) -> DataFrame:
-        asked = segments.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("mkey", "seg", "begin", "n")).alias("asked"))
-        texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").join(asked, ["doc_id", "mark"])
-        return texts.select("doc_id", "text", "asked")
-
-    shards = max(1, -(-(words or 0) // shard_words))
-    contents = texts_of(distinct.join(hot, "mkey", "left_anti") if n_hot else distinct).mapInArrow(_contents, "mkey long, seg long, doc_id long, words binary")
-    dealt = contents.repartition(int(shards), "mkey").sortWithinPartitions("mkey", "seg")
-    inner = scratch.keep(dealt.mapInArrow(_repeats, "mkey long, seg long, a int, z int"))
+    words, n_hot = sizes.agg(F.sum("words"), F.count_if(F.col("words") > hot_words)).first()
     if n_hot:
-        windows = texts_of(distinct.join(hot, "mkey", "left_semi")).mapInArrow(_windows, "mkey long, seg long, doc_id long, at int, window long")
-        inner = inner.unionByName(scratch.keep(_repeats_of_hot(scratch.keep(windows), scratch)))
-    whole = (
-        found.join(distinct.where("doc_id < hi").select("mkey", "seg", F.col("doc_id").alias("lo")), ["mkey", "seg"])
-        .where("doc_id > lo").select("doc_id", "mark", F.col("begin").alias("a"), (F.col("begin") + F.col("n")).alias("z"))
-    )
-    owned = found.join(distinct.select("mkey", "seg", "doc_id"), ["mkey", "seg", "doc_id"]).join(inner, ["mkey", "seg"])
-    own = owned.select("doc_id", "mark", (F.col("begin") + F.col("a")).alias("a"), (F.col("begin") + F.col("z")).alias("z"))
-    return whole.unionByName(own).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("a", "z")).alias("spans"))
+        found = _dealt_anew(docs, found, hot, n_hot, scratch)
+        scratch.drop(distinct)
+        distinct = scratch.keep(_distinct(found))
+        words = distinct.agg(F.sum("n")).first()[0]
+    asked = distinct.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("mkey", "seg", "begin", "n", "hi")).alias("asked"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").join(asked, ["doc_id", "mark"]).select("doc_id", "text", "asked")
+    contents = texts.mapInArrow(_contents, "mkey long, seg long, doc_id long, hi long, words binary")
+    dealt = contents.repartition(max(1, -(-(words or 0) // shard_words)), "mkey").sortWithinPartitions("mkey", "seg")
+    reports = scratch.keep(dealt.mapInArrow(_repeats, "mkey long, seg long, lo long, a int, z int"))
+    scratch.drop(distinct)
+    lost = found.join(reports, ["mkey", "seg"]).where("doc_id > lo")
+    span = F.struct((F.col("begin") + F.col("a")).alias("a"), (F.col("begin") + F.col("z")).alias("z"))
+    return lost.select("doc_id", "mark", span.alias("span")).groupBy("doc_id", "mark").agg(F.collect_set("span").alias("spans"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

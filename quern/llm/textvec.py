@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text handled at once; long rows stand alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -52,22 +52,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Bytes whose words are hashed at once; the tables of powers are no longer than that.
+HASH_BYTES = 1 << 16
+
+
 class Words:
     """Words of consecutive rows: `data` bytes, `start`/`end` of each word in it, and `first`
-    (rows + 1 entries), the index of each row's first word."""
+    (rows + 1 entries), the index of each row's first word.
+
+    Beside the bytes this takes three longs a word, however long a row is: bytes are looked at in blocks.
+    """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
         self.data = _LOWER[data] if lower else data
         self.offsets = offsets
         n = len(data)
-        solid = ~_SPACE[data]
-        edge = np.zeros(n + 1, bool)
-        edge[offsets] = True
-        begins, ends = solid.copy(), solid.copy()
-        begins[1:] &= ~solid[:-1] | edge[1:n]
-        ends[:-1] &= ~solid[1:] | edge[1:n]
-        self.start = np.flatnonzero(begins)
-        self.end = np.flatnonzero(ends) + 1
+        starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo in range(0, n, SLICE_BYTES):
+            hi = min(n, lo + SLICE_BYTES)
+            solid = ~_SPACE[data[max(0, lo - 1) : min(n, hi + 1)]]
+            at = lo - max(0, lo - 1)
+            own = solid[at : at + hi - lo]
+            rows = np.zeros(hi - lo + 1, bool)  # where a row begins
+            rows[offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi, "right")] - lo] = True
+            before = solid[:-1][: hi - lo] if lo else np.concatenate([[False], solid[: hi - lo - 1]])
+            after = np.concatenate([solid[at + 1 : at + 1 + hi - lo], np.zeros(hi - lo - len(solid[at + 1 : at + 1 + hi - lo]), bool)])
+            starts.append(np.flatnonzero(own & (~before | rows[:-1])) + lo)
+            ends.append(np.flatnonzero(own & (~after | rows[1:])) + lo + 1)
+        self.start, self.end = np.concatenate(starts), np.concatenate(ends)
         self.first = np.searchsorted(self.start, offsets)
 
     def __len__(self) -> int:
@@ -75,11 +87,29 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash for each word."""
-        n = len(self.data)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers(n)[:n], out=total[1:])
-        h = (total[self.end] - total[self.start]) * powers(n, inverse=True)[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64) * _WORD)
+        out = np.empty(len(self), np.uint64)
+        at = 0
+        while at < len(out):
+            lo = int(self.start[at])
+            to = max(at + 1, int(np.searchsorted(self.end, lo + HASH_BYTES, "right")))
+            if to == at + 1:
+                out[at] = self._long(lo, int(self.end[at]))
+            else:
+                n = int(self.end[to - 1]) - lo
+                total = np.zeros(n + 1, np.uint64)
+                np.cumsum((self.data[lo : lo + n].astype(np.uint64) + np.uint64(1)) * powers(HASH_BYTES)[:n], out=total[1:])
+                a, z = self.start[at:to] - lo, self.end[at:to] - lo
+                out[at:to] = (total[z] - total[a]) * powers(HASH_BYTES, inverse=True)[a]
+            at = to
+        return mix(out + (self.end - self.start).astype(np.uint64) * _WORD)
+
+    def _long(self, lo: int, hi: int) -> int:
+        """What hashes() sums for one word, however long."""
+        out = 0
+        for at in range(lo, hi, HASH_BYTES):
+            part = self.data[at : min(hi, at + HASH_BYTES)].astype(np.uint64) + np.uint64(1)
+            out += int((part * powers(HASH_BYTES)[: len(part)]).sum(dtype=np.uint64)) * pow(_R, at - lo, 1 << 64)
+        return out & (1 << 64) - 1
 
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
