@@ -71,7 +71,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = scratch.keep(stage(spark, docs, sf_dir))
+        old, docs = docs, scratch.keep(stage(spark, docs, sf_dir))
         if i:
-            scratch.drop(i)
+            scratch.drop(old)
     return docs
