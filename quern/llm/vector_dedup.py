@@ -1,38 +1,39 @@
-"""Operator 9, near-duplicate vectors by collisions of one-dimensional projections.
-
-Vectors are scaled to length 1 and equal ones become one class with a count.  Each is projected on PROJECTIONS random
-directions.  For a linked pair (cosine of THRESHOLD or more) the difference of a projection has a standard deviation of
-sqrt(2 - 2 * THRESHOLD) at most; WIDTH of these make a window, so that one projection collides in 98.8 of 100 cases.
-
-The first `grid` projections have a window of their own, so much wider that a linked pair collides in all of them in 98.8 of
-100 cases, however many they are.  They deal the classes into cells two such windows wide, a class going to its own cell and, where it
-lies within a window of the lower edge, to the one below: any two that collide in all of these projections meet in the
-cell that is the lower of theirs in each, and are counted only there.  The number of grid projections grows with the
-logarithm of the number of vectors, so cells stay near CELL rows.  Within a cell the next EARLY projections are sorted, and
-each class counts what lies in the windows centred on its own, found by binary search; pairs that fall short are skipped, the
-others are counted over all projections; pairs that reach the count that a linked pair misses once in 10,000 times are
-verified by the cosine in double precision.
-Cells over BLOCK rows are cut into pairs of blocks, so no task holds more than two.
-
-Recall at the threshold itself is that of the grid, 0.988 at least whatever the number of vectors, and higher above it; tests
-measure it against all pairs at 1 and at 6 grid projections.  No link is returned below the threshold.
+"""Operator 9, near-duplicate vectors by collisions of sorted one-dimensional projections.
+
+Vectors are scaled to length 1 and equal ones become one class with a count.
+
+1. Dealing.  In each of several tables a class goes to the cell of the random direction on which its projection is the
+   most extreme, with its sign; with very many classes to the cell of several such directions at once.  Cells have CELL
+   classes on average.  How often a pair at the threshold shares a cell is calibrated by simulation, and there are as many
+   tables as it takes to let all but 1 - RECALL of such pairs meet: the number of tables grows with a small power of
+   the number of classes (about 0.1), and that is all by which the work of a class grows.
+2. Counting.  Within a cell EARLY projections are sorted, and for each class a window centred on its own value is opened
+   in every one; what lies there is found by binary search and counted for each pair.  For a pair at the threshold the
+   difference of a projection has a standard deviation of sqrt(2 - 2 * threshold), and a window reaches WIDTH of these.
+   Pairs below the count that a linked pair misses once in 10,000 times are left; the others are counted over all PROJECTIONS.
+3. Verifying.  Pairs that reach the count in all of these as well are verified by the cosine in double precision, in the first
+   table in which they share a cell, so a link is counted once.
+
+Cells over BLOCK classes are cut into pairs of blocks, so no task holds more than two; the work there is that of the pairs.
+Recall at the threshold itself is about RECALL whatever the number of vectors, and higher above it; tests measure it
+against all pairs.  No link is returned below the threshold.
 
 Links are summed where they are found; only sums and a forest leave a task.  Vectors that are null, empty, zero or hold
 null or non-finite components link with nothing.  Vectors of another length are compared as if padded with zeros.  A null
-vec_id is returned unlinked.  Rows that share a vec_id and a vector are one vector; labels and other columns are ignored.
+vec_id is returned unlinked; an empty table gives no rows.  Rows that share a vec_id and a vector are one vector; labels and other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from quern.llm.grouped import bounds, whole_groups
 from quern.llm.scratch import Scratch, components
@@ -42,9 +43,16 @@ THRESHOLD = 0.95
 PROJECTIONS = 64
 EARLY = 10
 WIDTH = 2.5
-CELL = 4_000
+RECALL = 0.999
+#: Classes of a cell on average, and directions that one of its coordinates chooses from at most.
+CELL = 256
+DIRECTIONS = 128
 BLOCK = 4_000
 MISS = 1e-4
+#: Pairs of a cell that are counted at once, about.
+STRIP = 1 << 20
+#: Rows of cells that a worker takes together, about.
+GROUP = 4_000
 
 
 def least_count(m: int, p: float, miss: float = MISS) -> int:
@@ -57,40 +65,65 @@ def least_count(m: int, p: float, miss: float = MISS) -> int:
     return m
 
 
-def grid_window(grid: int, threshold: float = THRESHOLD) -> float:
-    """The window in which all `grid` projections of a pair at the threshold collide as often as one does within WIDTH."""
-    each = math.erf(WIDTH / math.sqrt(2)) ** (1 / grid)
-    return NormalDist().inv_cdf((1 + each) / 2) * math.sqrt(2 - 2 * threshold)
+def tables(total: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int, int]:
+    """(tables, coordinates of a cell, directions that each coordinate chooses from) for a number of classes."""
+    cells = -(-total // CELL)
+    if cells <= 1:
+        return 1, 0, 0
+    coords = max(1, math.ceil(math.log(cells) / math.log(2 * DIRECTIONS)))
+    d = max(2, math.ceil(cells ** (1 / coords) / 2))
+    rng = np.random.Generator(np.random.PCG64(7))
+    x = rng.standard_normal((20_000, d))
+    y = threshold * x + math.sqrt(1 - threshold**2) * rng.standard_normal(x.shape)
+    meet = float((extreme(x) == extreme(y)).mean()) ** coords
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet))) if meet < 1 else 1, coords, d
+
 
+def extreme(x: np.ndarray) -> np.ndarray:
+    """Of each row the coordinate with the largest absolute value, and its sign."""
+    at = np.abs(x).argmax(axis=1)
+    return 2 * at + (x[np.arange(len(x)), at] > 0)
 
-def directions(dim: int, m: int = PROJECTIONS) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(9)).standard_normal((dim, m))
+
+def directions(dim: int, m: int = PROJECTIONS, key: tuple[int, ...] = ()) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64([9, *key])).standard_normal((dim, m))
 
 
 def _unit(vectors: pa.Array, dim: int) -> np.ndarray:
-    lists = vectors.to_numpy(zero_copy_only=False)
-    out = np.zeros((len(lists), dim))
-    for i, x in enumerate(lists):
-        out[i, : len(x)] = x
+    sizes = np.diff(vectors.offsets.to_numpy())
+    if len(sizes) and (sizes == dim).all() and not vectors.null_count:
+        out = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+    else:
+        out = np.zeros((len(vectors), dim))
+        for i, x in enumerate(vectors.to_numpy(zero_copy_only=False)):
+            out[i, : len(x)] = x
     top = np.abs(out).max(axis=1, keepdims=True)
     out /= np.where(top > 0, top, 1)
     norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return out / np.where(norm > 0, norm, 1)
 
 
-def colliding(left: np.ndarray, right: np.ndarray, w: float, least: int) -> Iterator[np.ndarray]:
-    """For each column of `left`, the columns of `right` within w of it in `least` of the projections (rows) or more.
+def colliding(left: np.ndarray, right: np.ndarray, w: float, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (columns of `left`, columns of `right`) within w of each other in `least` of the projections (rows) or more.
 
     Each projection of `right` is sorted once; only what lies in a window is touched.
     """
+    n = right.shape[1]
     order = np.argsort(right, axis=1, kind="stable")
-    lo, hi = np.empty(left.shape, np.int64), np.empty(left.shape, np.int64)
-    for k, at in enumerate(order):
-        line = right[k][at]
-        lo[k], hi[k] = np.searchsorted(line, left[k] - w, "left"), np.searchsorted(line, left[k] + w, "right")
-    for a, z in zip(lo.T.tolist(), hi.T.tolist()):
-        seen = np.concatenate([at[x:y] for at, x, y in zip(order, a, z)])
-        yield np.flatnonzero(np.bincount(seen, minlength=right.shape[1]) >= least)
+    lines = np.take_along_axis(right, order, axis=1)
+    step = max(1, STRIP // max(1, n))
+    for at in range(0, left.shape[1], step):
+        own = left[:, at : at + step]
+        count = np.zeros(own.shape[1] * n, np.int64)
+        for x, line, col in zip(own, lines, order):
+            lo, size = np.searchsorted(line, x - w, "left"), np.searchsorted(line, x + w, "right")
+            size -= lo
+            ends = np.cumsum(size)
+            base = np.arange(len(x)) * n
+            seen = col[np.repeat(lo - (ends - size), size) + np.arange(ends[-1])] + np.repeat(base, size)
+            count += np.bincount(seen, minlength=len(count))
+        i, j = np.divmod(np.flatnonzero(count >= least), max(1, n))
+        yield i + at, j
 
 
 def _components_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -117,82 +150,77 @@ def link_vectors(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         rows.where("ok").groupBy("h1", "h2", "embedding").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("n")).withColumn("dim", F.size("embedding"))
     )
     total, dim = classes.agg(F.count("*"), F.max("dim")).first()
-    grid = max(1, min(6, math.ceil(math.log(max(1, total / CELL), 2.2)))) if total else 1
-    w, wide_w = WIDTH * math.sqrt(2 - 2 * threshold), grid_window(grid, threshold)
+    dim = dim or 1
+    n_tables, coords, d = tables(total, threshold)
+    w = WIDTH * math.sqrt(2 - 2 * threshold)
     p = math.erf(WIDTH / math.sqrt(2))
     early, late = least_count(EARLY, p), least_count(PROJECTIONS, p)
-    dim = dim or 1
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = directions(dim)[:, :grid]
+        made = [[directions(dim, d, (t, c)) for c in range(coords)] for t in range(n_tables)]
         for b in batches:
-            x = _unit(b.column("embedding"), dim) @ r
-            home = np.floor(x / (2 * wide_w)).astype(np.int64)
-            near = x - home * (2 * wide_w) <= wide_w
-            for mask in range(1 << grid):
-                down = np.array([mask >> k & 1 for k in range(grid)])
-                take = np.flatnonzero((near | (down == 0)).all(axis=1))
-                cell = home[take] - down
-                key = pa.array([c.astype(np.int32).tobytes() for c in cell], pa.binary())
-                yield pa.RecordBatch.from_arrays([c.take(pa.array(take)) for c in b.columns] + [key], names=["rep", "n", "embedding", "cell"])
-
-    placed = scratch.keep(
-        classes.select("rep", "n", "embedding").mapInArrow(place, classes.select("rep", "n", "embedding").schema.add("cell", BinaryType()))
-    )
-    sizes = placed.groupBy("cell").count().select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+            unit = _unit(b.column("embedding"), dim)
+            cells = np.zeros((b.num_rows, n_tables), np.int64)
+            for t, each in enumerate(made):
+                for r in each:
+                    cells[:, t] = cells[:, t] * (2 * d) + extreme(unit @ r)
+            cells = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * n_tables), pa.array(cells.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns, cells], names=["rep", "n", "embedding", "cells"])
+
+    inner = classes.select("rep", "n", "embedding")
+    placed = scratch.keep(inner.mapInArrow(place, StructType([*inner.schema, StructField("cells", ArrayType(LongType()))])))
+    # cells of more than a block; of these there are fewer than tables * total / BLOCK
+    large = scratch.keep(
+        placed.select(F.posexplode("cells").alias("t", "cell")).groupBy("t", "cell").count().where(F.col("count") > BLOCK)
+        .select("t", "cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    )
     tasks = (
-        placed.join(sizes, "cell")
+        placed.select("*", F.posexplode("cells").alias("t", "cell"))
+        .join(large, ["t", "cell"], "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("cell", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "n", "embedding")
+        .select("t", "cell", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "n", "embedding", "cells")
     )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = directions(dim)
-        for t in whole_groups(batches, ["cell", "x", "y"]):
-            keys = [np.array(t["cell"].to_pylist(), object), t["x"].to_numpy(), t["y"].to_numpy()]
-            edge = bounds(*keys).tolist()
+        for table in whole_groups(batches, ["t", "cell", "x", "y"], rows=GROUP):
+            t, cell, x_of, y_of, own, ids, n = (table[c].to_numpy() for c in ("t", "cell", "x", "y", "own", "rep", "n"))
+            unit = _unit(table["embedding"].combine_chunks(), dim)
+            cells = table["cells"].combine_chunks().flatten().to_numpy().reshape(-1, n_tables)
+            proj = np.ascontiguousarray((unit @ r).astype(np.float32).T)
+            edge = bounds(t, cell, x_of, y_of).tolist()
+            links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
             for lo, hi in zip(edge[:-1], edge[1:]):
-                part = t.slice(lo, hi - lo)
-                ids, n, own = (part[c].to_numpy() for c in ("rep", "n", "own"))
-                unit = _unit(part["embedding"].combine_chunks(), dim)
-                wide = unit @ r
-                proj = np.ascontiguousarray(wide.astype(np.float32).T)
-                cell = np.frombuffer(keys[0][lo], np.int32)
-                home = np.floor(wide[:, :grid] / (2 * wide_w)).astype(np.int64)
-                within = keys[1][lo] == keys[2][lo]
-                left = np.arange(hi - lo) if within else np.flatnonzero(own == keys[1][lo])
-                right = left if within else np.flatnonzero(own == keys[2][lo])
-                links = np.zeros(hi - lo, np.int64)
-                pa_, pb_ = [], []
-                early_on = proj[grid : grid + EARLY]
-                near = colliding(early_on[:, left], early_on[:, right], w, early)
-                for s in range(0, len(left), 256):
-                    i = left[s : s + 256]
-                    js = [right[next(near)] for _ in i]
-                    a, b = np.repeat(i, [len(j) for j in js]), np.concatenate(js)
-                    go = a < b if within else np.ones(len(a), bool)
-                    a, b = a[go], b[go]
-                    for c in range(0, len(a), 1 << 17):
-                        x, y = a[c : c + (1 << 17)], b[c : c + (1 << 17)]
-                        hits = np.zeros(len(x), np.int64)
-                        for k in range(PROJECTIONS):
-                            hits += np.abs(proj[k, x] - proj[k, y]) <= w
-                        x, y = x[hits >= late], y[hits >= late]
-                        mine = (np.minimum(home[x], home[y]) == cell).all(axis=1)
-                        x, y = x[mine], y[mine]
+                within = x_of[lo] == y_of[lo]
+                left = lo + (np.arange(hi - lo) if within else np.flatnonzero(own[lo:hi] == x_of[lo]))
+                right = left if within else lo + np.flatnonzero(own[lo:hi] == y_of[lo])
+                if min(len(left), len(right)) < 1 or within and hi - lo < 2:
+                    continue
+                xs, ys = [], []
+                for i, j in colliding(proj[:EARLY, left], proj[:EARLY, right], w, early):
+                    i, j = left[i], right[j]
+                    if within:
+                        i, j = i[i < j], j[i < j]
+                    for c in range(0, len(i), 1 << 16):
+                        x, y = i[c : c + (1 << 16)], j[c : c + (1 << 16)]
+                        go = (np.abs(proj[:, x] - proj[:, y]) <= w).sum(axis=0) >= late
+                        x, y = x[go], y[go]
+                        first = (cells[x, : t[lo]] != cells[y, : t[lo]]).all(axis=1)
+                        x, y = x[first], y[first]
                         good = np.einsum("ij,ij->i", unit[x], unit[y]) >= threshold
-                        pa_.append(x[good])
-                        pb_.append(y[good])
-                x, y = np.concatenate([np.zeros(0, np.int64), *pa_]), np.concatenate([np.zeros(0, np.int64), *pb_])
+                        xs.append(x[good])
+                        ys.append(y[good])
+                x, y = np.concatenate([np.zeros(0, np.int64), *xs]), np.concatenate([np.zeros(0, np.int64), *ys])
                 np.add.at(links, x, n[y])
                 np.add.at(links, y, n[x])
-                label = _components_of(hi - lo, x, y)
-                some = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[label[some]]), pa.array(links[some])], names=["a", "b", "links"])
+                label[lo:hi] = lo + _components_of(hi - lo, x - lo, y - lo)
+            some = np.flatnonzero(links)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[label[some]]), pa.array(links[some])], names=["a", "b", "links"])
 
     found = scratch.keep(
-        tasks.repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y").mapInArrow(verify, "a long, b long, links long")
+        tasks.repartition("t", "cell", "x", "y").sortWithinPartitions("t", "cell", "x", "y").mapInArrow(verify, "a long, b long, links long")
     )
     roots = components(found.select("a", "b"), scratch)
     sums = found.groupBy("a").agg(F.sum("links").alias("links"))

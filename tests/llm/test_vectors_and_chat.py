@@ -62,19 +62,21 @@ def test_vector_links_are_brute_force(vectors, monkeypatch):
         assert sum(got[i][1] != want[i][1] for i in want) <= 5
 
 
-def test_collisions_are_those_in_sorted_windows():
+def test_collisions_are_those_in_sorted_windows(monkeypatch):
     rng = np.random.default_rng(2)
     left, right = rng.standard_normal((10, 40)).round(1), rng.standard_normal((10, 300)).round(1)
     right[:, 200:] = 0.5  # many equal projections
     for least in (1, 4, 7):
         count = (np.abs(left[:, :, None] - right[:, None, :]) <= 0.75).sum(axis=0)
-        got = list(vector_dedup.colliding(left, right, 0.75, least))
-        assert [g.tolist() for g in got] == [np.flatnonzero(c >= least).tolist() for c in count]
-    assert [len(g) for g in vector_dedup.colliding(left, right[:, :0], 0.75, 1)] == [0] * 40
+        for strip in (1 << 20, 700):
+            monkeypatch.setattr(vector_dedup, "STRIP", strip)
+            i, j = (np.concatenate(x).tolist() for x in zip(*vector_dedup.colliding(left, right, 0.75, least)))
+            assert list(zip(i, j)) == list(zip(*(x.tolist() for x in np.nonzero(count >= least))))
+    assert sum(len(i) for i, _ in vector_dedup.colliding(left, right[:, :0], 0.75, 1)) == 0
 
 
-def test_recall_of_vector_links_does_not_fall_with_the_grid(spark, monkeypatch):
-    """Pairs just over the threshold, in a table that is dealt by one projection or by six."""
+def test_recall_of_vector_links_does_not_fall_with_the_cells(spark, monkeypatch):
+    """Pairs just over the threshold, in a table that is one cell, or has some hundred, or that many in two coordinates."""
     rng = np.random.default_rng(6)
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
     a = unit(rng.standard_normal((5_000, 24)))
@@ -82,8 +84,9 @@ def test_recall_of_vector_links_does_not_fall_with_the_grid(spark, monkeypatch):
     side = unit(side - (side * a).sum(axis=1, keepdims=True) * a)
     b = 0.9501 * a + math.sqrt(1 - 0.9501**2) * side
     df = spark.createDataFrame([(i, x) for i, x in enumerate(np.concatenate([a, b]).tolist())], "vec_id long, embedding array<double>").repartition(8)
-    for cell in (20_000, 50):
+    for cell, choices in ((20_000, 128), (50, 128), (50, 8)):
         monkeypatch.setattr(vector_dedup, "CELL", cell)
+        monkeypatch.setattr(vector_dedup, "DIRECTIONS", choices)
         lost = vector_dedup.link_vectors(df).where("n_links = 0").count() / 2
         assert lost <= 10
 
