@@ -3,9 +3,10 @@
 Features of a text are its words and pairs of neighbouring words, hashed to `2**bits` weights, each with the
 value (occurrences / all occurrences) * SCALE, plus a constant.  Only the text is ever an input of a score.
 
-Nulls and empty texts have the constant alone.  Repeated rows are scored alike, every row for itself; rows of
-`labels` with a null or other quality than 0 and 1 are not learned from; without a labelled row the score is 0.5.
-Other columns pass through untouched unless they carry the name of a result column, which replaces them.
+Nulls and empty texts have the constant alone; very long texts are read whole.  Repeated rows are scored alike, every row
+for itself, and learned from once; rows of `labels` with a null or other quality than 0 and 1, or a null doc_id, are not learned
+from; without a labelled row the score is 0.5, and an empty table gives no rows.  A row with a null doc_id is scored as any other;
+it is not held out.  Other columns pass through untouched unless they carry the name of a result column, which replaces them.
 """
 
 from __future__ import annotations
@@ -87,7 +88,8 @@ def _fit(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatc
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, bits: int = BITS) -> np.ndarray:
     """Weights learned from labelled texts whose crc32(doc_id as text) mod 5 is not 0.
 
-    The sample is bounded by `rows`, so one task learns from it and the weights (4 * 2**bits bytes) fit anywhere.
+    The sample has `rows` different rows of docs at most, so one task learns from it and the weights (4 * 2**bits bytes)
+    fit anywhere.  That task gets the sample alone: documents are read, joined and filtered where they lie.
     """
     known = (
         labels.where("quality in (0, 1) and crc32(cast(doc_id as string)) % 5 <> 0")
@@ -102,8 +104,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, bits: int
         docs.select("doc_id", "text")
         .join(F.broadcast(known), "doc_id")
         .select("text", "quality", F.xxhash64("doc_id", "text").alias("row_key"))
+        .dropDuplicates(["row_key"])
+        .orderBy("row_key")
+        .limit(rows)
     )
-    got = sample.coalesce(1).mapInArrow(lambda it: _fit(it, bits), "weights binary").collect()
+    got = sample.repartition(1).mapInArrow(lambda it: _fit(it, bits), "weights binary").collect()
     return np.frombuffer(got[0][0], np.float32) if got else np.zeros((1 << bits) + 1, np.float32)
 
 
@@ -137,5 +142,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     weights = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, weights, keep=["doc_id"]).select(
-        "doc_id", F.expr("crc32(cast(doc_id as string)) % 5 = 0").alias("held_out"), "score", "predicted"
+        "doc_id", F.expr("coalesce(crc32(cast(doc_id as string)) % 5 = 0, false)").alias("held_out"), "score", "predicted"
     )
