@@ -7,18 +7,26 @@ a block is a sum of these bitmaps at the places of the query's binary digits, in
 adders, the last two by a ripple.  The k best rows are then selected from the most significant slice of the sum
 downward; rows that still tie at the end are taken by smaller vec_id, so the result is exact.
 
-Queries, in chunks, meet every block once: the work is that of the stated query set against all rows.  Blocks and
-chunks are bounded; a block passes k rows for each query on.
+Queries, in chunks, meet every block once: the work is that of the stated query set against all rows.  A task builds the
+index of its block and then streams the queries of its chunk through it, so it holds no more than one block's rows, whose
+index is packed component by component; rows are sent once for each QUERIES queries.  A block passes k rows for each query on.
+
+Components beyond what keeps every sum within 62 bits are not in the bitmaps: rows that have such a component, and queries
+that have one, are scored one by one in integers of any length, so the ranking is exact for all finite components; a score
+beyond the range of a long is shown as the nearest long.
 
 Vectors that are null, empty or hold null or non-finite components take no part; shorter vectors count as padded with
-zeros.  Scores must fit 62 bits.  Repeated rows are each a candidate; a query id that occurs several times
+zeros.  Repeated rows are each a candidate; a query id that occurs several times
 with different vectors is answered for each, with the same vector once.  No row but the query's own is left out: rows
-of the same vec_id are its own.
+of the same vec_id are its own.  An empty table, or one without queries, gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +34,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.grouped import whole_groups
+from quern.llm.grouped import bounds
 from quern.llm.scratch import Scratch
 
 SCALE = 1024
 BLOCK = 1 << 16
-QUERIES = 128
+#: Components of two vectors of 2**m components below 2**(LIMIT_BITS - m / 2) have an inner product below 2**62.
+LIMIT_BITS = 31
+#: Queries of a chunk: as many as QUERIES, fewer where there would be fewer tasks than TASKS.
+QUERIES = 1 << 14
+TASKS = 16
+LEAST_QUERIES = 128
 
 
 def usable(vector: str) -> str:
@@ -40,8 +53,14 @@ def usable(vector: str) -> str:
 
 
 def quantised(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    return df.where(usable(vector)).where(f"{key} IS NOT NULL").select(
-        F.col(key).cast("long").alias("vec_id"), F.expr(f"transform({vector}, x -> CAST(floor({SCALE}D * CAST(x AS DOUBLE)) AS BIGINT))").alias("v")
+    """vec_id, v (the integer components) and, where one is too large for a sum in 62 bits, `wide`, the components as they were."""
+    x = f"transform({vector}, x -> CAST(x AS DOUBLE))"
+    out = df.where(usable(vector)).where(f"{key} IS NOT NULL").select(F.col(key).cast("long").alias("vec_id"), F.expr(x).alias("x"))
+    wide = f"exists(x, a -> abs(a) * {SCALE}D >= shiftleft(1L, {LIMIT_BITS} - CAST(ceil(log2(size(x)) / 2) AS INT)))"
+    return out.select(
+        "vec_id",
+        F.expr(f"IF({wide}, transform(x, a -> 0L), transform(x, a -> CAST(floor({SCALE}D * a) AS BIGINT)))").alias("v"),
+        F.expr(f"IF({wide}, x, NULL)").alias("wide"),
     )
 
 
@@ -70,10 +89,11 @@ class BitSlices:
         u = v - self.low
         self.bits = max(1, int(u.max()).bit_length())
         wide = -(-n // 64) * 64
-        planes = np.zeros((dim, self.bits, wide), bool)
-        for b in range(self.bits):
-            planes[:, b, :n] = (u.T >> b) & 1
-        self.planes = np.packbits(planes, axis=2, bitorder="little").view(np.uint64)
+        self.planes = np.zeros((dim, self.bits, wide // 64), np.uint64)
+        one = np.zeros((self.bits, wide), bool)
+        for d in range(dim):
+            one[:, :n] = u[:, d] >> np.arange(self.bits)[:, None] & 1
+            self.planes[d] = np.packbits(one, axis=1, bitorder="little").view(np.uint64)
         valid = np.zeros(wide, bool)
         valid[:n] = True
         self.valid = np.packbits(valid, bitorder="little").view(np.uint64)
@@ -143,47 +163,99 @@ class BitSlices:
         return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
 
 
-def _matrix(lists, dim: int) -> np.ndarray:
+def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
+    sizes = np.diff(lists.offsets.to_numpy())
+    if (sizes == dim).all():
+        return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
     out = np.zeros((len(lists), dim), np.int64)
-    for i, x in enumerate(lists):
+    for i, x in enumerate(lists.to_numpy(zero_copy_only=False)):
         out[i, : len(x)] = x
     return out
 
 
+def _key(x: int) -> bytes:
+    """Bytes in the order of the integers."""
+    size = x.bit_length() // 8 + 1
+    lead = (1 << 31) + (size if x >= 0 else -size)
+    return lead.to_bytes(4, "big") + (x if x >= 0 else x + (1 << 8 * size)).to_bytes(size, "big")
+
+
+def _exact(v: np.ndarray, wide: list[float] | None) -> list[int]:
+    return v.tolist() if wide is None else [math.floor(Fraction(x) * SCALE) for x in wide]
+
+
+class Block:
+    """Rows of a block: the index of those it can hold, and the others as integers of any length."""
+
+    def __init__(self, parts: list[pa.RecordBatch], dim: int):
+        ids = np.concatenate([np.zeros(0, np.int64), *(p.column("vec_id").to_numpy() for p in parts)])
+        v = np.concatenate([np.zeros((0, dim), np.int64), *(_matrix(p.column("v"), dim) for p in parts)])
+        wide = [x for p in parts for x in p.column("wide").to_pylist()]
+        fits = np.array([x is None for x in wide], bool)
+        self.index = BitSlices(ids[fits], v[fits]) if fits.any() else None
+        self.others = [(int(i), _exact(v[k], wide[k])) for i, k in zip(ids[~fits], np.flatnonzero(~fits))]
+        self.ids, self.v = ids[fits], v[fits]
+
+    def best(self, own: int, q: np.ndarray, wide: list[float] | None, k: int) -> list[tuple[int, int]]:
+        """(vec_id, score) of the k best rows but the query's own."""
+        exact = _exact(q, wide)
+        rest = self.others
+        found = []
+        if wide is not None:
+            rest = rest + list(zip(self.ids.tolist(), self.v.tolist()))
+        elif self.index:
+            found = [(-s, i) for i, s in zip(*(x.tolist() for x in self.index.best(q, own, k)))]
+        found += [(-sum(a * b for a, b in zip(exact, x)), i) for i, x in rest if i != own]
+        return [(i, -s) for s, i in heapq.nsmallest(k, found)]
+
+
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, rank, vec_id, score of each query's k best rows.  Both inputs: vec_id and v, an array of long."""
+    """query_id, rank, vec_id, score of each query's k best rows.  Both inputs are as `quantised` gives them."""
     spark = rows.sparkSession
-    n, dim, nq = rows.agg(F.count("*"), F.max(F.size("v"))).first() + queries.agg(F.count("*")).first()[:]
-    schema = "query_id long, vec_id long, score long"
+    n, dim = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    queries = queries.dropDuplicates(["vec_id", "v", "wide"])
+    nq, q_dim = queries.agg(F.count("*"), F.max(F.size("v"))).first()
     if not n or not nq:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dim = max(dim, queries.agg(F.max(F.size("v"))).first()[0])
-    blocks, chunks = -(-n // BLOCK), -(-nq // QUERIES)
-    h = F.xxhash64("vec_id", "v")
+    dim = max(dim, q_dim)
+    blocks = -(-n // BLOCK)
+    chunks = max(-(-nq // QUERIES), min(-(-TASKS // blocks), -(-nq // LEAST_QUERIES)))
+    h = F.xxhash64("vec_id", "v", "wide")
     # the side of the rows goes to every chunk of queries, the queries to every block of rows
-    left = rows.select("vec_id", "v", F.lit(0).alias("side"), F.pmod(h, F.lit(blocks)).cast("int").alias("block"))
+    left = rows.select("vec_id", "v", "wide", F.lit(None).cast("long").alias("query"), F.pmod(h, F.lit(blocks)).cast("int").alias("block"))
     left = left.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    right = queries.dropDuplicates(["vec_id", "v"]).select("vec_id", "v", F.lit(1).alias("side"), F.pmod(h, F.lit(chunks)).cast("int").alias("chunk"))
+    right = queries.select("vec_id", "v", "wide", h.alias("query"), F.pmod(h, F.lit(chunks)).cast("int").alias("chunk"))
     right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["block", "chunk"]):
-            both = t["block"].to_numpy().astype(np.int64) * chunks + t["chunk"].to_numpy()
-            for key in np.unique(both):
-                part = t.filter(pa.array(both == key))
-                side = part["side"].to_numpy()
-                ids = part["vec_id"].to_numpy()
-                v = _matrix(part["v"].to_numpy(), dim)
-                if not (side == 0).any() or not (side == 1).any():
+        held, key, block = [], None, None
+        for b in batches:
+            at = bounds(b.column("block").to_numpy(), b.column("chunk").to_numpy(), b.column("query").is_valid().to_numpy(zero_copy_only=False)).tolist()
+            for lo, hi in zip(at[:-1], at[1:]):
+                part = b.slice(lo, hi - lo)
+                here = (part.column("block")[0].as_py(), part.column("chunk")[0].as_py())
+                if here != key:
+                    held, key, block = [], here, None
+                if not part.column("query")[0].is_valid:
+                    held.append(part)
                     continue
-                index = BitSlices(ids[side == 0], v[side == 0])
-                for q, x in zip(ids[side == 1].tolist(), v[side == 1]):
-                    found, score = index.best(x, q, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), q)), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-    dealt = left.unionByName(right).repartition(int(blocks * chunks), "block", "chunk").sortWithinPartitions("block", "chunk")
-    found = dealt.select("block", "chunk", "side", "vec_id", "v").mapInArrow(run, schema)
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                if block is None:
+                    block, held = Block(held, dim), []
+                vectors, wide = _matrix(part.column("v"), dim), part.column("wide").to_pylist()
+                best = [block.best(q, x, w, k) for q, x, w in zip(part.column("vec_id").to_pylist(), vectors, wide)]
+                of = pa.array(np.repeat(np.arange(hi - lo), [len(x) for x in best]))
+                score = [s for x in best for _, s in x]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("vec_id").take(of), part.column("query").take(of), pa.array([i for x in best for i, _ in x], pa.int64()),
+                        pa.array([max(-(1 << 63), min(s, (1 << 63) - 1)) for s in score], pa.int64()), pa.array([_key(s) for s in score], pa.binary()),
+                    ],
+                    names=["query_id", "query", "vec_id", "score", "by"],
+                )
+
+    dealt = left.unionByName(right).repartition(int(blocks * chunks), "block", "chunk").sortWithinPartitions("block", "chunk", F.col("query").asc_nulls_first())
+    found = dealt.select("block", "chunk", "query", "vec_id", "v", "wide").mapInArrow(run, "query_id long, query long, vec_id long, score long, by binary")
+    order = W.partitionBy("query_id", "query").orderBy(F.desc("by"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

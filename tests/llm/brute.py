@@ -1,8 +1,10 @@
 """What the operators must return, the slow and plain way."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 
@@ -73,7 +75,7 @@ def usable(v):
 
 def top(rows, k=10):
     """{query_id: [(vec_id, score)]}"""
-    good = [(i, [int(np.floor(1024 * float(x))) for x in v]) for i, v in rows if i is not None and usable(v)]
+    good = [(i, [math.floor(Fraction(x) * 1024) for x in v]) for i, v in rows if i is not None and usable(v)]
     out = {}
     for q, x in good:
         if q % 100 == 0:
@@ -96,3 +98,49 @@ def links(rows, least=0.95):
                 n[j] += 1
                 union.join(i, j)
     return {i: (n[i], union.find(i)) for i, _ in rows}
+
+
+def secrets(text):
+    """The base kinds, character by character."""
+    out, n = [], len(text)
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def run(at, chars):
+        while at < n and text[at] in chars:
+            at += 1
+        return at
+
+    def assigned(at, name):
+        """(where the value begins, where it ends) of an assignment to the name at a place."""
+        k = at + len(name)
+        k += k < n and text[k] in "\"'"
+        k = run(k, " ")
+        if k >= n or text[k] not in ":=":
+            return None
+        k = run(k + 1, " ")
+        k += k < n and text[k] in "\"'"
+        z = run(k, value)
+        return (k, z) if z > k else None
+
+    at = 0
+    while at < n:
+        names = [x for x in ("password", "passwd", "secret", "token", "api_key", "apikey") if low.startswith(x, at)]
+        got = assigned(at, names[0]) if names else None
+        if got:
+            if got[1] - got[0] >= 8:
+                out.append(("assign", at, got[1]))
+            at = got[1]
+        else:
+            at += 1
+    for kind, lead, chars, least in (("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16), ("hex", "", set("0123456789abcdef"), 32)):
+        at = 0
+        while at < n:
+            z = run(at + len(lead), chars) if text.startswith(lead, at) else at
+            if z > at + len(lead):
+                if z - at >= least:
+                    out.append((kind, at, z))
+                at = z
+            else:
+                at += 1
+    return out

@@ -48,6 +48,25 @@ def test_top_k_breaks_ties_and_runs_short(spark):
     assert topk.top_k(v, v.where("vec_id % 100 = 0"), k=50).count() == 4
 
 
+def test_top_k_is_exact_for_all_finite_components(spark):
+    rng = np.random.default_rng(8)
+    big = [[1e300, 0.0], [-1e300, 0.0], [1.7e308, 1.7e308], [3e6, -3e6], [2.0**40, 1.0], [0.0, 2.0**52], [5e-324, -5e-324], [40_000.0, 40_000.0]]
+    rows = [(i, rng.standard_normal(2).tolist()) for i in range(1, 100)] + [(100 + i, x) for i, x in enumerate(big)] + [(200, [1.0, 0.0]), (300, [-1e200, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    v = topk.quantised(df)
+    got: dict = {}
+    for r in topk.top_k(v, v.where("vec_id % 100 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    top = 2**63 - 1
+    assert got == {q: [(i, max(-top - 1, min(s, top))) for i, s in x] for q, x in brute.top(rows).items()}
+    assert got[200][:2] == [(102, top), (100, top)]
+
+
+def test_score_keys_keep_the_order():
+    x = sorted({s * (2**p + d) for p in (0, 7, 8, 15, 16, 62, 63, 64, 1000) for d in (-1, 0, 1) for s in (1, -1)})
+    assert [k for _, k in sorted((topk._key(k), k) for k in x)] == x
+
+
 def test_vector_links_are_brute_force(vectors, monkeypatch):
     df, rows = vectors
     want = brute.links(rows)
