@@ -3,15 +3,17 @@
 Base kinds are patterns with a least length.  The kinds after them are reported only once what they hold has been
 decoded and its structure holds:
 
-* der: base64 or hex that decodes to an ASN.1 SEQUENCE whose nested lengths fill it exactly and that holds an INTEGER
-  or an OBJECT IDENTIFIER, as private and public keys do;
-* jwt: three dotted base64url parts, the first a JSON object with a text `alg`, the second a JSON object;
+* der: base64 (of either alphabet, in one run or in lines of one length) or hex that decodes to an ASN.1 SEQUENCE whose nested
+  lengths fill it exactly and that holds an INTEGER or an OBJECT IDENTIFIER, as private and public keys do;
+* jwt: three dotted base64url parts, the first, from its first "eyJ" on, a JSON object with a text `alg`, the second a JSON object;
 * pem: an armoured private key, its body base64 of one of these or of an OpenSSH key, or said to be encrypted by its headers;
   its line breaks may be escaped as in JSON;
 * ssh: base64 of length-prefixed fields that fill it exactly, the first naming a key type.
 
-Spans count code points, ends exclusive.  A null or empty text has none; very long texts are scanned whole, in one
-pass that touches patterns only where a cheap byte test finds room for a match.  Rows are independent.
+Spans count code points, ends exclusive.  A null or empty text has none; very long texts are scanned whole, in time that
+follows their length: no pattern tries a run of characters twice.  Patterns are touched only where a cheap byte test finds
+room for a match.  Rows are independent: repeated rows and null doc_ids do no harm, and an empty table gives no rows.  Other
+columns pass through; one named `secrets` is replaced.
 """
 
 from __future__ import annotations
@@ -39,13 +41,15 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _HEX_ANY = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{2}){24,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9A-F]{2}){24,}(?![0-9A-Za-z])")
 _B64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+_B64_URL = re.compile(r"[A-Za-z0-9_-]{40,}={0,2}")
+_B64_LINES = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{48,80}(?:\r\n|\n|\r))++[A-Za-z0-9+/]*+={0,2}")
+_DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*+)++")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*+(?:-(?!----)[^-]*+)*+)-----END \1-----")
 _DEK = re.compile(r"Proc-Type:\s*4,\s*ENCRYPTED\s(?:.{0,200}\s)?DEK-Info:\s*[A-Za-z0-9-]+(?:,\s*[0-9A-Fa-f]+)?(?=\s)")
 
 _RUN = np.zeros((3, 256), bool)
 _RUN[0, [*b"0123456789abcdef"]] = True
-_RUN[1, [*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]] = True
+_RUN[1, [*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"]] = True
 _WORDS = (b"passw", b"secret", b"token", b"api")
 
 
@@ -121,6 +125,21 @@ def _is_pem(body: str) -> bool:
     return _is_der(data) or data.startswith(b"openssh-key-v1\0") or bool(encrypted and len(data) > 20)
 
 
+def _jwts(run: str) -> Iterator[tuple[int, int]]:
+    """Where a dotted run has three parts that are a signed token."""
+    parts = run.split(".")
+    at, i = 0, 0
+    while i + 2 < len(parts):
+        head, lead = parts[i], parts[i].find("eyJ")
+        if 0 <= lead < len(head) - 3 and parts[i + 1]:
+            end = at + len(head) + len(parts[i + 1]) + len(parts[i + 2]) + 2
+            if isinstance((_object(_b64(head[lead:], True)) or {}).get("alg"), str) and _object(_b64(parts[i + 1], True)) is not None:
+                yield at + lead, end
+                at, i = end + 1, i + 3
+                continue
+        at, i = at + len(head) + 1, i + 1
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Leftmost non-overlapping matches of each base kind that are long enough."""
     return [
@@ -136,16 +155,20 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     for m in _PEM.finditer(text):
         if _is_pem(m[2]):
             out.append(("pem", *m.span()))
-    for m in _JWT.finditer(text):
-        head, body, _ = m[0].split(".")
-        if isinstance((_object(_b64(head, True)) or {}).get("alg"), str) and _object(_b64(body, True)) is not None:
-            out.append(("jwt", *m.span()))
+    for m in _DOTTED.finditer(text) if "eyJ" in text else ():
+        out += (("jwt", m.start() + a, m.start() + z) for a, z in _jwts(m[0]))
     for m in _B64.finditer(text):
         if data := _b64(m[0]):
             if _is_der(data):
                 out.append(("der", *m.span()))
             elif _is_ssh(data):
                 out.append(("ssh", *m.span()))
+    for m in _B64_URL.finditer(text):
+        if ("-" in m[0] or "_" in m[0]) and _is_der(_b64(m[0], True) or b""):
+            out.append(("der", *m.span()))
+    for m in _B64_LINES.finditer(text):
+        if _is_der(_b64("".join(m[0].split())) or b""):
+            out.append(("der", m.start(), m.start() + len(m[0].rstrip())))
     out += (("der", *m.span()) for m in _HEX_ANY.finditer(text) if _is_der(bytes.fromhex(m[0])))
     return sorted(set(out))
 
@@ -178,6 +201,16 @@ def _worth(data: np.ndarray, offsets: np.ndarray, raw: bytes) -> np.ndarray:
     return out
 
 
+def _scanned(column: pa.Array) -> Iterator[tuple[str | None, list[tuple[str, int, int]]]]:
+    """(text, spans) of each row; rows without room for a match have no text here and no spans."""
+    for _, _, data, offsets in tv.slices(column):
+        raw = data.tobytes()
+        bounds = offsets.tolist()
+        for i, worth in enumerate(_worth(data, offsets, raw).tolist()):
+            text = raw[bounds[i] : bounds[i + 1]].decode() if worth else None
+            yield text, scan(text) if worth else []
+
+
 def find_secrets(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Adds `secrets`, the spans of `text` in order, to the columns `keep` of docs (all by default)."""
     keep = [c for c in (keep or docs.columns) if c != "secrets"]
@@ -186,29 +219,38 @@ def find_secrets(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: list[list[dict]] = []
-            for _, _, data, offsets in tv.slices(b.column(place)):
-                raw = data.tobytes()
-                bounds = offsets.tolist()
-                for i, worth in enumerate(_worth(data, offsets, raw).tolist()):
-                    spans = scan(raw[bounds[i] : bounds[i + 1]].decode()) if worth else []
-                    found.append([{"kind": k, "begin": x, "end": y} for k, x, y in spans])
+            found = [[{"kind": k, "begin": x, "end": y} for k, x, y in spans] for _, spans in _scanned(b.column(place))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(found, kind)], names=[*keep, "secrets"])
 
     return inner.mapInArrow(run, kept.add("secrets", ArrayType(SPAN)))
 
 
+def _without(text: str, spans: list[tuple[str, int, int]]) -> str:
+    out, at = [], 0
+    for kind, begin, end in spans:
+        if end > at:
+            if begin >= at:
+                out += (text[at:begin], f"<{kind}>")
+            at = end
+    return "".join([*out, text[at:]])
+
+
 def redact(docs: DataFrame) -> DataFrame:
-    """Every secret in `text` is replaced by <kind>; overlapping spans as one, named by the first."""
-    columns = docs.columns
-    inner = find_secrets(docs)
-    pieces = """aggregate(secrets,
-        named_struct('at', 0, 'out', CAST('' AS STRING)),
-        (a, s) -> IF(s.end <= a.at, a, named_struct(
-            'at', s.end,
-            'out', IF(s.begin < a.at, a.out, concat(a.out, substring(text, a.at + 1, s.begin - a.at), '<', s.kind, '>')))),
-        a -> concat(a.out, substring(text, a.at + 1)))"""
-    return inner.withColumn("text", F.expr(f"IF(size(secrets) = 0, text, {pieces})")).select(*columns)
+    """Every secret in `text` is replaced by <kind>; overlapping spans as one, named by the first.  All else is as in docs."""
+    names = docs.columns
+    place = names.index("text")
+    inner, _, kept = tv.carry(docs, names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = b.column(place)
+            found = list(_scanned(column))
+            if any(spans for _, spans in found):
+                texts = (_without(text, spans) if spans else old.as_py() for (text, spans), old in zip(found, column))
+                column = pa.array(texts, column.type)
+            yield pa.RecordBatch.from_arrays([*b.columns[:place], column, *b.columns[place + 1 :]], names=names)
+
+    return inner.mapInArrow(run, kept)
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
