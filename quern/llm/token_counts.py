@@ -6,12 +6,20 @@ one once for a worker.  The shortcut splits texts by the published pattern with
 the library agree on ASCII (except 0x1C-0x1F) and on the blocks in PLAIN, which a test compares character by
 character; a text with any other character is counted by the library itself, as a whole.
 
-A null text counts as an empty one: no bytes, no tokens.  Rows are independent of each other.
+No pre-token reaches from a character that is no white space over a space, nor does a run of white space take the
+last space before such a character.  So where no space has white space (or an end of the text) on both sides, every
+space begins a pre-token; there a text is cut at its spaces and each word with its space is looked up: what is between
+two such cuts is split and counted once for a worker.  Other texts are split by the pattern as a whole.
+
+A null text counts as an empty one: no bytes, no tokens.  Rows are independent of each other: repeated rows and null doc_ids
+do no harm, and an empty table gives no rows.  Very long texts are counted whole.  Other columns pass through; those named
+as a result are replaced.  What a worker remembers is bounded by its characters, whatever the script.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +31,14 @@ from pyspark.sql.types import LongType
 from quern.llm import textvec as tv
 from quern.llm.bpe import PATTERN, PLAIN, vocabulary
 
-#: Merged pre-tokens that a worker remembers.
-REMEMBER = 300_000
+#: Characters of words and pre-tokens that a worker remembers.
+REMEMBER = 6_000_000
 LIMIT = 512
 
+#: A space that may not begin a pre-token: white space or an end of the text on both sides of it.
+_UNSURE = re.compile(r"(?:^|\s) (?:\s|$)")
+_CONTROL = re.compile(r"[\x1c-\x1f\x7f]")
+
 
 def prove_whole_tokens(path: str) -> list[str]:
     """The vocabulary strings that are one pre-token and encode alone as their own single token."""
@@ -49,10 +61,26 @@ class _Counts(dict):
     def __init__(self, tokenizer, proved: list[str]):
         super().__init__(dict.fromkeys(proved, 1))
         self.tokenizer = tokenizer
+        self.size = 0
 
     def __missing__(self, pre: str) -> int:
         n = len(self.tokenizer.encode(pre, add_special_tokens=False).ids)
         self[pre] = n
+        self.size += len(pre) + 50
+        return n
+
+
+class _Words(dict):
+    """Tokens of a word with the space before it; splits those not known yet."""
+
+    def __init__(self, split, counts: _Counts):
+        super().__init__()
+        self.split, self.counts, self.size = split, counts, 0
+
+    def __missing__(self, word: str) -> int:
+        n = sum(map(self.counts.__getitem__, self.split(" " + word)))
+        self[word] = n
+        self.size += len(word) + 50
         return n
 
 
@@ -77,14 +105,22 @@ class Counter:
         self.split = regex.compile(PATTERN).findall
         self.odd = regex.compile(f"[^{PLAIN}]").search
         self.proved = proved
-        self.counts = _Counts(self.tokenizer, proved)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.counts = _Counts(self.tokenizer, self.proved)
+        self.words = _Words(self.split, self.counts)
 
     def count(self, text: str) -> int:
-        if any(s in text for s in self.special) or self.odd(text):
+        if any(s in text for s in self.special) or (_CONTROL.search(text) if text.isascii() else self.odd(text)):
             return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        n = sum(map(self.counts.__getitem__, self.split(text)))
-        if len(self.counts) > len(self.proved) + REMEMBER:
-            self.counts = _Counts(self.tokenizer, self.proved)
+        if _UNSURE.search(text):
+            n = sum(map(self.counts.__getitem__, self.split(text)))
+        else:
+            first, *rest = text.split(" ")
+            n = sum(map(self.counts.__getitem__, self.split(first))) + sum(map(self.words.__getitem__, rest))
+        if self.counts.size + self.words.size > REMEMBER:
+            self._forget()
         return n
 
 

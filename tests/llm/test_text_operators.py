@@ -164,6 +164,22 @@ def test_token_counts_are_the_library(odd, spark, tokenizer):
         assert r.n_tokens == len(tokenizer.encode(r.text or "", add_special_tokens=False).ids)
 
 
+def test_words_are_counted_alike_in_any_white_space(tokenizer, monkeypatch):
+    rng = np.random.default_rng(4)
+    bits = [" ", " ", " ", "\n", "\t", "a", "the", "It's", "'s", "12", "!?", "\u00e9\u00e0", "\u65e5\u672c", "x" * 40, "=="]
+    counter = token_counts.Counter(bpe.vocabulary(), token_counts.prove_whole_tokens(bpe.vocabulary()))
+    fast = 0
+    for _ in range(20_000):
+        t = "".join(rng.choice(bits, rng.integers(1, 12)))
+        fast += not token_counts._UNSURE.search(t)
+        assert counter.count(t) == len(tokenizer.encode(t, add_special_tokens=False).ids), repr(t)
+    assert 5_000 < fast < 19_000
+    monkeypatch.setattr(token_counts, "REMEMBER", 2_000)
+    for t in ("q" * 5_000 + " " + "\ud55c" * 3_000, "a b c"):
+        assert counter.count(t) == len(tokenizer.encode(t, add_special_tokens=False).ids)
+    assert counter.words.size + counter.counts.size <= 2_000
+
+
 def test_plain_characters_split_alike(tokenizer):
     import regex
 
@@ -260,6 +276,42 @@ def test_secrets_over_a_table(odd, spark):
     assert clean[-98] == "<assign>" and clean[-96] is None and clean[-93] == "<assign>" and clean[-99] == "key <jwt>"
 
 
+def test_secrets_take_time_by_length():
+    import time
+
+    key = base64.b64encode(der()).decode()
+    for t in ("eyJ" * 3_400_000, "eyJ." * 2_500_000, "a-" * 5_000_000, "token " * 1_700_000, "password" + " " * 10_000_000, "-----BEGIN PRIVATE KEY-----" * 380_000, "A" * 10_000_000,
+              ("B" * 64 + "\n") * 150_000, "0a" * 5_000_000 + "g", "Proc-Type: 4,ENCRYPTED " * 400_000, "{}" * 5_000_000):
+        start = time.perf_counter()
+        assert ("der", 1, 1 + len(key)) not in secrets.scan(t)
+        assert time.perf_counter() - start < 6, t[:20]
+    start = time.perf_counter()
+    many = ("token=abcdefgh " + "x" * 85) * 40_000
+    assert secrets._without(many, secrets.scan(many)) == ("<assign> " + "x" * 85) * 40_000 and time.perf_counter() - start < 6
+
+
+def test_secrets_find_wrapped_and_url_safe_keys():
+    body = b"".join(b"\x02\x20" + bytes([251, 255, 190] * 10 + [k, 62]) for k in range(6))
+    key = b"\x30\x81" + bytes([len(body)]) + body
+    good, url = base64.b64encode(key).decode(), base64.urlsafe_b64encode(key).decode()
+    assert "-" in url or "_" in url
+    for end in ("\n", "\r\n", "\r"):
+        lines = end.join(good[i : i + 64] for i in range(0, len(good), 64))
+        assert ("der", 2, 2 + len(lines)) in secrets.scan(f"x {lines} y")
+        assert not [s for s in secrets.scan(f"x {lines[:-8]} y") if s[0] == "der"]
+    assert ("der", 2, 2 + len(url)) in secrets.scan(f"x {url} y")
+    run = f"x.{jwt()}.y.{jwt()}"
+    assert [run[a:b] for k, a, b in secrets.scan(run) if k == "jwt"] == [jwt(), jwt()]
+
+
+def test_secrets_base_kinds_are_brute_force(odd):
+    rng = np.random.default_rng(12)
+    bits = ["password", "PassWd", "secret", "token", "api_key", "apikey", "API_KEY", '"', "'", " ", "  ", ":", "=", "abc12345", "x" * 7, "AKIA", "ABCDEFGH12", "0a1b2c3d" * 4, "0a1b" * 7, "é", "\t", "=="]
+    texts = ["".join(rng.choice(bits, rng.integers(1, 14))) for _ in range(6_000)]
+    for t in [*texts, *(r.text or "" for r in odd.select("text").collect())]:
+        assert sorted(secrets.base_spans(t)) == sorted(brute.secrets(t)), t
+
+
 # 8: near-duplicates
 
 
