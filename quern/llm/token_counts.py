@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from quern.llm import textvec as tv
-from quern.llm.bpe import PATTERN, PLAIN, vocabulary
+from quern.llm.bpe import PATTERN, PLAIN, QUICK_MOST, Codec, vocabulary
 
 #: Characters of words and pre-tokens that a worker remembers.
-REMEMBER = 6_000_000
+REMEMBER = 32_000_000
 LIMIT = 512
 
 #: A space that may not begin a pre-token: white space or an end of the text on both sides of it.
@@ -58,14 +58,13 @@ def prove_whole_tokens(path: str) -> list[str]:
 class _Counts(dict):
     """Tokens of a pre-token; merges those not known yet."""
 
-    def __init__(self, tokenizer, proved: list[str]):
+    def __init__(self, merged, proved: list[str]):
         super().__init__(dict.fromkeys(proved, 1))
-        self.tokenizer = tokenizer
+        self.merged = merged
         self.size = 0
 
     def __missing__(self, pre: str) -> int:
-        n = len(self.tokenizer.encode(pre, add_special_tokens=False).ids)
-        self[pre] = n
+        n = self[pre] = self.merged(pre)
         self.size += len(pre) + 50
         return n
 
@@ -78,7 +77,11 @@ class _Words(dict):
         self.split, self.counts, self.size = split, counts, 0
 
     def __missing__(self, word: str) -> int:
-        n = sum(map(self.counts.__getitem__, self.split(" " + word)))
+        parts = self.split(" " + word)
+        if len(parts) == 1:  # remembered here, so not there
+            n = self.counts.get(parts[0]) or self.counts.merged(parts[0])
+        else:
+            n = sum(map(self.counts.__getitem__, parts))
         self[word] = n
         self.size += len(word) + 50
         return n
@@ -96,19 +99,22 @@ class Counter:
     def __init__(self, path: str, proved: list[str]):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        codec = Codec.of(path)
+        self.tokenizer, self.special, self.quick = codec.tokenizer, codec.special, codec.quick
         self.split = regex.compile(PATTERN).findall
         self.odd = regex.compile(f"[^{PLAIN}]").search
         self.proved = proved
         self._forget()
 
+    def _merged(self, pre: str) -> int:
+        """Tokens of a pre-token of plain characters, by the faster library if it has the merges of the file."""
+        if self.quick and len(pre) <= QUICK_MOST:
+            return len(self.quick.encode_ordinary(pre))
+        return len(self.tokenizer.encode(pre, add_special_tokens=False).ids)
+
     def _forget(self) -> None:
-        self.counts = _Counts(self.tokenizer, self.proved)
+        self.counts = _Counts(self._merged, self.proved)
         self.words = _Words(self.split, self.counts)
 
     def count(self, text: str) -> int:
