@@ -6,12 +6,16 @@ into blocks of about equal words.  A source's quota is whole passes over its blo
 part of them, whose final block is cut so that the words taken meet the target.  A binary tree splits the vector of
 block quotas over the output shards: at each node the left half draws its share without replacement from all blocks
 there, a multivariate hypergeometric draw, so the shards' counts add up to the quotas exactly.  Each shard then takes
-the next blocks of each source's permuted draws, disjoint from every other shard's, and is shuffled by hash.
+the next blocks of each source's permuted draws, disjoint from every other shard's, and is shuffled by hash where it lies:
+buckets of a shard are dealt by the hash, and each is sorted in the task that gets it.
 
-Only one row for each source and at most MAX_BLOCKS rows for blocks (plus one for each source) ever reach the driver,
-however large the table; MAX_SOURCES bounds the first.  Null texts have size 0 and take nothing; a null source is a
-source; repeated rows are dealt each for itself; an empty table gives an empty mix.  Draws depend on doc_id, source
-and seed alone, so reruns agree.
+Sizes, ranks, targets and quotas of sources are tables, however many sources there are.  The tree alone runs on the driver, over
+BUNDLES numbers at most: where there are more sources, several share an entry of its vector and their draws are interleaved by hash.
+Sources have MAX_BLOCKS blocks together, and one each at least.
+
+Null texts have size 0 and take nothing; a null source is a source, and a null doc_id a doc_id; repeated rows are dealt each for
+itself; an empty table gives an empty mix; very long texts are counted, and cut by words, whole.  Columns named as a result
+are replaced, others kept.  Draws depend on doc_id, source and seed alone, so reruns agree.
 """
 
 from __future__ import annotations
@@ -20,44 +24,57 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.llm.scratch import Scratch
+
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 SHARDS = 16
 BLOCK_WORDS = 20_000
 MAX_BLOCKS = 1 << 16
-MAX_SOURCES = 100_000
+BUNDLES = 1 << 12
+#: Words of a bucket of a shard, about: what a task sorts.
+BUCKET_WORDS = 2_000_000
 
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> list[float]:
-    """Target words of sources in order: shares by weight, the excess over `most` times a size shared again."""
-    w = [weights[i % len(weights)] for i in range(len(sizes))]
-    out = [0.0] * len(sizes)
-    open_, left = set(range(len(sizes))), share * sum(sizes)
-    while open_:
-        total = sum(w[i] for i in sorted(open_))
-        over = [i for i in sorted(open_) if left * w[i] / total > most * sizes[i]]
-        if not over:
-            for i in open_:
-                out[i] = left * w[i] / total
+def targets(sizes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Adds `rank` (in code point order, null last) and `target` (words) to source and n, one row for each source."""
+    ranged = scratch.keep(sizes.orderBy(F.col("source").asc_nulls_last()).withColumn("id", F.monotonically_increasing_id()))
+    # the rank is the place in the partition and the rows of those before it: one row for each partition
+    part = F.shiftright("id", 33)
+    counts = sorted((r.part, r.n) for r in ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    before, told = 0, []
+    for k, n in counts:
+        told.append((k, before))
+        before += n
+    told = sizes.sparkSession.createDataFrame(told, "part long, before long")
+    ranked = ranged.join(F.broadcast(told), part == told["part"]).withColumn("rank", F.col("before") + F.expr("id & 8589934591"))
+    weight = F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), (F.col("rank") % len(WEIGHTS) + 1).cast("int"))
+    ranked = scratch.keep(ranked.select("source", "n", "rank", weight.alias("w")))
+    every = ranked.agg(F.sum("n"), F.sum("w")).first()
+    left, open_ = SHARE * (every[0] or 0), every[1] or 1
+    while True:  # each round caps more sources, until the share of no other is too much
+        over = F.lit(left) * F.col("w") / F.lit(open_) > MOST * F.col("n")
+        gone, still = ranked.agg(F.sum(F.when(over, MOST * F.col("n"))), F.sum(F.when(~over, F.col("w")))).first()
+        new = SHARE * (every[0] or 0) - (gone or 0), still or 1
+        if new == (left, open_):
             break
-        for i in over:
-            out[i] = float(most * sizes[i])
-        left -= sum(out[i] for i in over)
-        open_ -= set(over)
-    return out
+        left, open_ = new
+    aim = F.when(over, (MOST * F.col("n")).cast("double")).otherwise(F.lit(left) * F.col("w") / F.lit(open_))
+    return ranked.select("source", "n", "rank", aim.alias("target"))
 
 
 def split(counts: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """[shard, source] block counts; each node of the tree draws its left half's from all blocks at the node."""
+    """[shard, entry] block counts; each node of the tree draws its left half's from all blocks at the node."""
     out = np.zeros((shards, len(counts)), np.int64)
 
     def go(counts: np.ndarray, lo: int, hi: int) -> None:
@@ -79,61 +96,84 @@ def split(counts: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def _permuted(n: int, *key) -> np.ndarray:
+def _rng(*key) -> np.random.Generator:
     digest = hashlib.sha256(repr(key).encode()).digest()
-    return np.random.Generator(np.random.PCG64(int.from_bytes(digest[:16], "big"))).permutation(n)
+    return np.random.Generator(np.random.PCG64(int.from_bytes(digest[:16], "big")))
+
+
+def _quotas(blocks: pd.DataFrame, seed: int) -> pd.DataFrame:
+    """The draws of a bundle's sources in order: of each source whole passes over its blocks, and a part of a last one."""
+    out = []
+    for s, own in blocks.groupby("s", sort=True):
+        words = dict(zip(own["b"].tolist(), own["words"].tolist()))
+        source, left, n = own["source"].iloc[0], int(own["target"].iloc[0]), int(own["blocks"].iloc[0])
+        turn = 0
+        while left > 0 and any(words.values()):
+            for k in _rng(seed, source, turn).permutation(n).tolist():
+                have = words.get(k, 0)
+                if have and left > 0:
+                    out.append((s, k, turn, None if have <= left else left))
+                    left -= min(have, left)
+            turn += 1
+    bundle = blocks["bundle"].iloc[0]
+    if blocks["s"].nunique() > 1:
+        out = [out[i] for i in _rng(seed, int(bundle)).permutation(len(out))]
+    draws = pd.DataFrame(out, columns=["s", "b", "pass", "cut"]).astype({"cut": "Int64"})
+    draws.insert(0, "at", np.arange(len(draws)))
+    draws.insert(0, "bundle", bundle)
+    return draws
 
 
 def allocate(docs: DataFrame, shards: int = SHARDS, seed: int = 1, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Adds size, source_size, target and draws, an array of (pass, shard, words): what the mix takes of each row."""
-    spark = docs.sparkSession
+    scratch = Scratch(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "draws")]
-    sized = docs.select(*keep, n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "source").alias("__h"))
-    found = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sources = sorted(((r.source, r.n) for r in found), key=lambda s: (s[0] is None, (s[0] or "").encode()))
-    sizes = [n for _, n in sources]
-    aims = targets(sizes)
-    block_words = max(block_words, math.ceil(sum(sizes) / MAX_BLOCKS))
-    n_blocks = [max(1, math.ceil(n / block_words)) for n in sizes]
-    told = spark.createDataFrame(
-        [(i, s, n, float(t), b) for i, ((s, n), t, b) in enumerate(zip(sources, aims, n_blocks))],
-        "__s int, __source string, source_size long, target double, __blocks int",
-    )
-    rows = (
-        sized.join(F.broadcast(told), sized.source.eqNullSafe(told["__source"]))
-        .withColumn("__b", F.pmod("__h", F.col("__blocks").cast("long")).cast("int"))
-        .drop("__source", "__blocks")
+    h = F.xxhash64(F.lit(seed), "doc_id", "source")
+    sized = scratch.keep(docs.select(F.col("source"), n_words(F.col("text")).alias("size"), h.alias("h")))
+    sizes = scratch.keep(sized.groupBy("source").agg(F.sum("size").alias("n")))
+    n_sources, total = sizes.agg(F.count("*"), F.sum("n")).first()
+    block_words = max(block_words, math.ceil((total or 0) / MAX_BLOCKS))
+    told = targets(sizes, scratch).select(
+        F.col("source").alias("__source"), F.col("rank").alias("__s"), F.col("n").alias("source_size"), "target",
+        F.greatest(F.ceil(F.col("n") / block_words), F.lit(1)).cast("long").alias("__blocks"),
+    )
+    told = scratch.keep(told)
+    # sent to all tasks while there are no more sources than blocks; joined by shuffle beyond
+    near = F.broadcast(told) if n_sources <= MAX_BLOCKS else told
+
+    def placed(rows: DataFrame, h: Column) -> DataFrame:
+        out = rows.join(near, rows["source"].eqNullSafe(near["__source"]))
+        return out.withColumn("__b", F.pmod(h, F.col("__blocks")).cast("int"))
+
+    blocks = placed(sized, F.col("h")).groupBy("__s", "__b").agg(F.sum("size").alias("words"))
+    bundles = max(1, min(n_sources, BUNDLES))
+    draws = (
+        blocks.join(near, "__s")
+        .select((F.col("__s") % bundles).cast("int").alias("bundle"), F.col("__s").alias("s"), F.col("__b").alias("b"), "words", F.col("__source").alias("source"), "target", F.col("__blocks").alias("blocks"))
+        .groupBy("bundle")
+        .applyInPandas(lambda x: _quotas(x, seed), "bundle int, at long, s long, b int, pass int, cut long")
     )
-    words = {(r["__s"], r["__b"]): r.n for r in rows.groupBy("__s", "__b").agg(F.sum("size").alias("n")).collect()}
-
-    draws: list[list[tuple[int, int, int | None]]] = []  # of each source: (block, pass, words of it or None for all)
-    for s, (aim, b) in enumerate(zip(aims, n_blocks)):
-        mine, left, turn = [], int(aim), 0
-        while left > 0 and sizes[s]:
-            for k in _permuted(b, seed, sources[s][0], turn).tolist():
-                have = words.get((s, k), 0)
-                if have and left > 0:
-                    mine.append((k, turn, None if have <= left else left))
-                    left -= min(have, left)
-            turn += 1
-        draws.append(mine)
-    by_shard = split(np.array([len(d) for d in draws]), shards, seed)
-    plan = []
-    for s, mine in enumerate(draws):
-        of = np.repeat(np.arange(shards), by_shard[:, s]).tolist()
-        plan += [(s, k, turn, shard, cut) for (k, turn, cut), shard in zip(mine, of)]
-    plan = (
-        spark.createDataFrame(plan, "__s int, __b int, pass int, shard int, cut long")
-        .groupBy("__s", "__b")
+    draws = scratch.keep(draws)
+    counts = np.zeros(bundles, np.int64)
+    for r in draws.groupBy("bundle").count().collect():
+        counts[r["bundle"]] = r["count"]
+    upto = np.cumsum(split(counts, shards, seed), axis=0).T
+    upto = docs.sparkSession.createDataFrame([(i, x) for i, x in enumerate(upto.tolist())], "bundle int, upto array<long>")
+    shard = F.expr("size(filter(upto, n -> n <= at))").alias("shard")
+    plan = scratch.keep(
+        draws.join(F.broadcast(upto), "bundle").select(F.col("s").alias("__s"), F.col("b").alias("__b"), "pass", shard, "cut").groupBy("__s", "__b")
         .agg(F.array_sort(F.collect_list(F.struct("pass", "shard", "cut"))).alias("__plan"), F.max("cut").alias("__cut"))
-    )
-    # at most 2 * MAX_BLOCKS rows and some for each source
-    rows = rows.join(F.broadcast(plan), ["__s", "__b"], "left")
+    )
+    few = plan.count() <= 2 * MAX_BLOCKS
+    rows = placed(docs.select(*keep, h.alias("__h")), F.col("__h")).drop("__source", "__blocks")
+    rows = rows.join(F.broadcast(plan) if few else plan, ["__s", "__b"], "left")
     before = F.sum("size").over(W.partitionBy("__s", "__b").orderBy("__h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1))
-    cut = rows.where("__cut IS NOT NULL").withColumn("__before", F.coalesce(before, F.lit(0)))
-    rows = rows.where("__cut IS NULL").withColumn("__before", F.lit(0).cast("long")).unionByName(cut)
+    whole = rows.where("__cut IS NULL").withColumns({"size": n_words(F.col("text")), "__before": F.lit(0).cast("long")})
+    # a cut block has as many rows with words as it has words at most; rows without are not gathered
+    cut = rows.where("__cut IS NOT NULL").withColumn("size", n_words(F.col("text")))
+    none = cut.where("size = 0").withColumn("__before", F.lit(0).cast("long"))
+    cut = cut.where("size > 0").withColumn("__before", F.coalesce(before, F.lit(0)))
+    rows = whole.unionByName(cut).unionByName(none)
     part = "IF(d.cut IS NULL, size, greatest(0L, least(size, d.cut - __before)))"
     return rows.select(
         *keep, "size", "source_size", "target",
@@ -142,23 +182,28 @@ def allocate(docs: DataFrame, shards: int = SHARDS, seed: int = 1, block_words:
     )
 
 
-def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 1) -> DataFrame:
+def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 1, bucket_words: int = BUCKET_WORDS) -> DataFrame:
     """The mix itself: the columns of docs, a row for each draw, with `shard`, `pass` and `words`; a draw of a part of a text
-    holds its first words.  Rows of a shard lie in one partition's range in shuffled order."""
+    holds its first words.  A bucket of a shard lies in one partition, in shuffled order."""
     drawn = allocate(docs, shards, seed).withColumn("d", F.explode("draws"))
     first = F.expr(r"array_join(slice(regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0), 1, CAST(d.words AS INT)), '')")
     drawn = drawn.withColumn("text", F.when(F.col("d.words") < F.col("size"), first).otherwise(F.col("text")))
     place = F.xxhash64(F.lit(seed + 1), "doc_id", "source", F.col("d.pass"))
+    total = docs.agg(F.sum(n_words(F.col("text")))).first()[0] or 0
+    buckets = max(1, math.ceil(SHARE * total / shards / bucket_words))
     return (
         drawn.select(*docs.columns, "d.shard", "d.pass", "d.words", place.alias("__place"))
-        .repartitionByRange("shard", "__place")
-        .sortWithinPartitions("shard", "__place")
-        .drop("__place")
+        .withColumn("__bucket", F.pmod(F.xxhash64("__place"), F.lit(buckets)))
+        .repartition(shards * buckets, "shard", "__bucket")
+        .sortWithinPartitions("shard", "__bucket", "__place")
+        .drop("__place", "__bucket")
     )
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shards: what each output shard takes of the document, as shard:words, in the order of the draws."""
     return allocate(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")).select(
         "doc_id", "size", "source_size", "target",
         F.expr("aggregate(draws, 0L, (a, d) -> a + d.words)").alias("taken"),
+        F.expr("array_join(transform(draws, d -> concat(d.shard, ':', d.words)), ',')").alias("shards"),
     )

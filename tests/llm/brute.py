@@ -33,6 +33,25 @@ class Union:
         self.up[max(a, b)] = min(a, b)
 
 
+def targets(sizes):
+    """Target words of sources in order: shares by weight 3, 1, 2, the excess over twice a size shared again."""
+    w = [(3, 1, 2)[i % 3] for i in range(len(sizes))]
+    out = [0.0] * len(sizes)
+    open_, left = set(range(len(sizes))), 1.5 * sum(sizes)
+    while open_:
+        total = sum(w[i] for i in sorted(open_))
+        over = [i for i in sorted(open_) if left * w[i] / total > 2 * sizes[i]]
+        if not over:
+            for i in open_:
+                out[i] = left * w[i] / total
+            break
+        for i in over:
+            out[i] = 2.0 * sizes[i]
+        left -= sum(out[i] for i in over)
+        open_ -= set(over)
+    return out
+
+
 def substring(rows):
     """(n_words, n_removed, kept_sha256) of each (doc_id, text)."""
     first = {}

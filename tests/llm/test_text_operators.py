@@ -25,10 +25,20 @@ def test_empty_tables(spark, empty_folder, name):
 # 1: mixing
 
 
-def test_targets_share_by_weight_under_the_cap():
-    assert mixing.targets([100, 10, 50]) == [132.0, 20.0, 88.0]  # 120, 40, 80 before the cap
-    assert mixing.targets([]) == [] and mixing.targets([0, 0]) == [0, 0]
-    assert mixing.targets([60, 60, 60]) == [120.0, 50.0, 100.0]  # 135, 45, 90 before the cap
+def test_targets_share_by_weight_under_the_cap(spark):
+    from quern.llm.scratch import Scratch
+
+    def got(sizes):
+        df = spark.createDataFrame([(f"s{i:03}", n) for i, n in enumerate(sizes)], "source string, n long").repartition(3)
+        return [r.target for r in mixing.targets(df, Scratch(spark)).orderBy("rank").collect()]
+
+    assert got([100, 10, 50]) == [132.0, 20.0, 88.0]  # 120, 40, 80 before the cap
+    assert got([]) == [] and got([0, 0]) == [0, 0]
+    assert got([60, 60, 60]) == [120.0, 50.0, 100.0]  # 135, 45, 90 before the cap
+    rng = np.random.default_rng(3)
+    for n in (7, 50):
+        sizes = (rng.random(n) ** 6 * 10_000).astype(int).tolist()
+        assert got(sizes) == brute.targets(sizes)
 
 
 def test_split_is_exact_and_repeatable():
@@ -47,13 +57,52 @@ def test_mixing_meets_targets(spark, odd, folder):
         assert 0 <= r.taken <= 2 * r.size
         assert r.doc_id is None or r.size == len(brute.words(text[r.doc_id]))
     order = sorted(by, key=lambda s: (s is None, s))
-    aims = mixing.targets([sum(r["size"] for r in by[s]) for s in order])
+    aims = brute.targets([sum(r["size"] for r in by[s]) for s in order])
     for s, aim in zip(order, aims):
         assert {r.target for r in by[s]} == {aim} and abs(sum(r.taken for r in by[s]) - aim) <= 1
     a, b = (sorted(rows_of(queries.QUERIES["op1_mixing"](spark, folder), "doc_id", "taken")) for _ in range(2))
     assert a == b
 
 
+def test_shards_come_from_the_tree(odd, monkeypatch):
+    def shards_of():
+        got = mixing.allocate(odd, shards=4, block_words=300).select("doc_id", "source", F.posexplode("draws").alias("k", "d")).select("doc_id", "source", "d.*").collect()
+        return sorted(map(tuple, got), key=repr)
+
+    from pyspark.sql import functions as F
+
+    rows = shards_of()
+    texts = Counter(r[3] for r in rows)  # one text has a third of all words, so texts are counted
+    assert len(texts) == 4 and max(texts.values()) < 2 * min(texts.values())
+    of = defaultdict(set)  # a block goes to one shard in a pass, and so does a document
+    for doc_id, source, turn, shard, _ in rows:
+        if doc_id is not None:
+            of[doc_id, source, turn].add(shard)
+    assert all(len(s) == 1 for s in of.values())
+    assert rows == shards_of()
+    monkeypatch.setattr(mixing, "split", lambda counts, shards, seed: np.vstack([counts, np.zeros((shards - 1, len(counts)), np.int64)]))
+    other = shards_of()
+    assert other != rows and {r[3] for r in other} == {0} and [(*r[:3], r[4]) for r in other] == [(*r[:3], r[4]) for r in rows]
+
+
+def test_many_sources_share_entries_of_the_tree(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUNDLES", 3)
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join("w" * int(n)), f"s{i % 40:02}") for i, n in enumerate(rng.integers(0, 60, 400))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.allocate(df, shards=4, block_words=40).selectExpr("source", "size", "target", "aggregate(draws, 0L, (a, d) -> a + d.words) AS taken", "draws").collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.source].append(r)
+    aims = brute.targets([sum(r["size"] for r in by[s]) for s in sorted(by)])
+    assert all({r.target for r in by[s]} == {a} and abs(sum(r.taken for r in by[s]) - a) <= 1 for s, a in zip(sorted(by), aims))
+    words = Counter()
+    for r in got:
+        for d in r.draws:
+            words[d.shard] += d.words
+    assert len(words) == 4 and max(words.values()) < 1.5 * min(words.values())
+
+
 def test_mix_holds_what_was_drawn(odd):
     drawn = mixing.allocate(odd).selectExpr("sum(aggregate(draws, 0L, (a, d) -> a + d.words))").first()[0]
     got = mixing.mix(odd, shards=4).collect()
