@@ -41,35 +41,32 @@ def documents(chunks: DataFrame) -> DataFrame:
     )
 
 
-#: One statement, valid in Spark and in DuckDB: documents from supplier, chunks from lineitem.
-FIXTURE_SQL = """
-WITH doc AS (
-  SELECT s_suppkey AS k,
-         concat('기관', lpad(CAST(s_suppkey AS STRING), 4, '0'),
-           CASE CAST(s_suppkey % 6 AS INT) WHEN 0 THEN '설치법' WHEN 1 THEN '시행령' WHEN 2 THEN '시행규칙'
-                WHEN 3 THEN '업무규정' WHEN 4 THEN '운영요령' ELSE '처리지침' END) AS doc_title,
-         CASE WHEN s_suppkey % 4 = 3 THEN '공문체' ELSE '법규체' END AS doc_family
-  FROM {supplier}),
-n AS (SELECT count(*) AS n FROM {supplier}),
+_TITLE = """concat('기관', lpad(CAST({k} AS STRING), 4, '0'), CASE CAST({k} % 6 AS INT) WHEN 0 THEN '설치법' WHEN 1 THEN '시행령' WHEN 2 THEN '시행규칙'
+           WHEN 3 THEN '업무규정' WHEN 4 THEN '운영요령' ELSE '처리지침' END)"""
+
+#: One statement, valid in Spark and in DuckDB: documents from supplier, chunks from all of lineitem; a document names four others,
+#: one of them never in brackets.
+FIXTURE_SQL = f"""
+WITH n AS (SELECT count(*) AS n FROM {{supplier}}),
 li AS (
   SELECT l_suppkey AS k, l_partkey AS p,
+         (l_suppkey + CASE CAST(l_partkey % 4 AS INT) WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 11 ELSE 29 END) % n.n AS named,
          row_number() OVER (PARTITION BY l_suppkey
            ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, l_shipdate) AS seq
-  FROM {lineitem})
-SELECT d.k AS doc_key, d.doc_title, d.doc_family, CAST(li.seq AS BIGINT) AS seq,
-       CASE WHEN d.doc_family = '법규체' THEN '조' ELSE '본문' END AS unit,
-       concat(CASE WHEN d.doc_family = '법규체' THEN '제' ELSE '§' END, CAST(li.seq AS STRING),
-              CASE WHEN d.doc_family = '법규체' THEN '조' ELSE '' END) AS article_label,
-       CASE CAST(li.p % 7 AS INT)
-         WHEN 0 THEN concat('이 규정은 「', t.doc_title, '」을 준용한다.')
-         WHEN 1 THEN concat('이 규정은 「', t.doc_title, '」을 준용하지 아니한다.')
-         WHEN 2 THEN concat('제2조(정의) 1. "용어', CAST(li.p % 50 AS STRING), '"이란 업무를 말한다.')
-         WHEN 3 THEN concat('기술', CAST(li.p % 10 AS STRING), '평가위원회 및 신용보증심의회를 둔다.')
-         WHEN 4 THEN concat('외부 『외부', CAST(li.p % 30 AS STRING), '특별법』에 따른다.')
-         WHEN 5 THEN concat('평문으로 ', t.doc_title, '에서 정한 바에 따른다.')
-         ELSE concat('개정 2023. 5. ', CAST(1 + li.p % 28 AS STRING), '. 부칙을 둔다.') END AS text
-FROM li JOIN doc d ON d.k = li.k CROSS JOIN n JOIN doc t ON t.k = li.p % n.n
-WHERE li.seq <= 12"""
+  FROM {{lineitem}} CROSS JOIN n WHERE l_suppkey IN (SELECT s_suppkey FROM {{supplier}})),
+x AS (SELECT k, p, seq, k % 4 <> 3 AS legal, {_TITLE.format(k='k')} AS doc_title, {_TITLE.format(k='named')} AS other FROM li)
+SELECT k AS doc_key, doc_title, CASE WHEN legal THEN '법규체' ELSE '공문체' END AS doc_family, CAST(seq AS BIGINT) AS seq,
+       CASE WHEN legal THEN '조' ELSE '본문' END AS unit,
+       CASE WHEN legal THEN concat('제', CAST(seq AS STRING), '조') ELSE concat('§', CAST(seq AS STRING)) END AS article_label,
+       CASE
+         WHEN p % 7 = 0 AND p % 4 <> 3 THEN concat('이 규정은 「', other, '」을 준용한다.')
+         WHEN p % 7 = 1 AND p % 4 <> 3 THEN concat('이 규정은 「', other, '」을 준용하지 아니한다.')
+         WHEN p % 7 = 2 THEN concat('제2조(정의) 1. "용어', CAST(p % 50 AS STRING), '"이란 업무를 말한다.')
+         WHEN p % 7 = 3 THEN concat('기술', CAST(p % 10 AS STRING), '평가위원회 및 신용보증심의회를 둔다.')
+         WHEN p % 7 = 4 THEN concat('외부 『외부', CAST(p % 30 AS STRING), '특별법』에 따른다.')
+         WHEN p % 7 <> 6 THEN concat('평문으로 ', other, '에서 정한 바에 따른다.')
+         ELSE concat('개정 2023. 5. ', CAST(1 + p % 28 AS STRING), '. 부칙을 둔다.') END AS text
+FROM x"""
 
 
 def fixture_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,15 +47,19 @@ def external_laws(resolved: DataFrame) -> DataFrame:
     )
 
 
-def plain_references(documents: DataFrame, titles: DataFrame, min_len: int = 8, limit: int | None = 200_000, suffix: bool = True) -> DataFrame:
-    """(doc_iri, value): titles of min_len characters that stand in a document's normalised text, brackets or none."""
+def plain_references(documents: DataFrame, titles: DataFrame, min_len: int = 8, limit: int | None = None, suffix: bool = True) -> DataFrame:
+    """(doc_iri, value): titles of min_len characters that stand in a document's normalised text, brackets or none.
+
+    limit: characters of the text that are searched; the whole text by default.
+    """
     texts = documents.select("doc_iri", T.norm(F.col("text")).alias("nt"))
     if limit:
         texts = texts.withColumn("nt", F.substring("nt", 1, limit))
     keys = titles.where(F.length("title_norm") >= min_len)
     if suffix:
         keys = keys.where(F.col("title_norm").rlike("(?:" + "|".join(P.TITLE_SUFFIXES) + r")\z"))
-    return containing(texts, "nt", keys.select("title_norm", "value"), "title_norm", min_len).where("value <> doc_iri").select("doc_iri", "value").distinct()
+    found = containing(texts, "nt", keys.select("title_norm", "value"), "title_norm", min_len, keep=["doc_iri"])
+    return found.where("value <> doc_iri").select("doc_iri", "value").distinct()
 
 
 def terms(chunks: DataFrame, documents: DataFrame) -> DataFrame:
@@ -88,14 +92,17 @@ def organisations(chunks: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def whole_organisations(mentions: DataFrame, judge=None) -> DataFrame:
-    """(canon, label): names that are no part of a longer one, and that `judge` (list of labels -> those kept), if any, lets pass in batches of 40."""
+    """(canon, label): names that are no part of a longer one, and that `judge` (list of labels -> those kept), if any, lets pass."""
     at = F.struct("doc_ord", "seq", "pos")
     names = mentions.groupBy("canon").agg(F.min_by("label", at).alias("label"))
     longer = names.select(F.col("canon").alias("whole"))
     parts = containing(longer, "whole", names.select("canon"), "canon", 5).where("whole <> canon").select("canon").distinct()
     names = names.join(parts, "canon", "left_anti")
-    if judge is None:
-        return names
+    return names if judge is None else judged(names, judge)
+
+
+def judged(names: DataFrame, judge) -> DataFrame:
+    """The names (canon, label) that `judge` (list of labels -> those kept) lets pass in batches of 40."""
 
     def gate(frames):
         for df in frames:

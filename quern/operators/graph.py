@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions import patterns as P
@@ -110,26 +111,36 @@ def facts(triples: DataFrame, seeds: DataFrame, most: int = 20) -> DataFrame:
     return rows.groupBy("fact").agg(F.min("prio").alias("prio")).orderBy("prio", "fact").limit(most)
 
 
+def links(triples: DataFrame) -> DataFrame:
+    """The triples between nodes, types left out."""
+    return triples.where((F.col("kind") == "iri") & (F.col("p") != "rdf:type"))
+
+
 def node_index(triples: DataFrame) -> DataFrame:
-    """(iri, label, types, attrs, out, in): everything said of every node; schema nodes are left out."""
+    """(iri, label, types, attrs, out, in): everything said of every node; schema nodes are left out.
+
+    out and in count the links of each predicate, (p, n): a node that all others cite is a row as short as any.  The links
+    themselves are in `ego` and `edge_groups`.
+    """
     local = lambda c: F.element_at(F.split(c, ":"), -1)
     is_type, is_label = F.col("p") == "rdf:type", F.col("p").isin("rdfs:label", "skos:prefLabel") & (F.col("kind") == "lit")
-    link = (F.col("kind") == "iri") & ~is_type
     subjects = triples.groupBy(F.col("s").alias("iri")).agg(
         F.max_by(F.when(is_label, F.col("o")), F.when(is_label, F.col("ord"))).alias("label"),
         F.array_sort(F.collect_set(F.when(is_type, local(F.col("o"))))).alias("types"),
-        F.array_sort(F.collect_list(F.when(link, F.struct("p", "o")))).alias("out"),
     )
     values = triples.where(~is_type & ~is_label & (F.col("kind") != "iri")).groupBy(F.col("s").alias("iri"), "p").agg(F.array_sort(F.collect_list("o")).alias("vals"))
     attrs = values.groupBy("iri").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("p", "vals")))).alias("attrs"))
-    objects = triples.where(link).groupBy(F.col("o").alias("iri")).agg(F.array_sort(F.collect_list(F.struct("p", "s"))).alias("in"))
-    nodes = subjects.join(attrs, "iri", "left").join(objects, "iri", "full_outer")
+
+    def counted(end: str, name: str) -> DataFrame:
+        each = links(triples).groupBy(F.col(end).alias("iri"), "p").agg(F.count("*").alias("n"))
+        return each.groupBy("iri").agg(F.array_sort(F.collect_list(F.struct("p", "n"))).alias(name))
+
+    nodes = subjects.join(attrs, "iri", "left").join(counted("s", "out"), "iri", "left").join(counted("o", "in"), "iri", "full_outer")
     types = F.when(F.size("types") > 0, F.col("types")).otherwise(F.array(F.lit("(untyped)")))
+    none = F.expr("CAST(array() AS ARRAY<STRUCT<p: STRING, n: BIGINT>>)")
     return nodes.select(
         "iri", F.coalesce("label", local(F.col("iri"))).alias("label"), types.alias("types"),
-        F.coalesce("attrs", F.expr("CAST(map() AS MAP<STRING, ARRAY<STRING>>)")).alias("attrs"),
-        F.coalesce("out", F.expr("CAST(array() AS ARRAY<STRUCT<p: STRING, o: STRING>>)")).alias("out"),
-        F.coalesce("in", F.expr("CAST(array() AS ARRAY<STRUCT<p: STRING, s: STRING>>)")).alias("in"),
+        F.coalesce("attrs", F.expr("CAST(map() AS MAP<STRING, ARRAY<STRING>>)")).alias("attrs"), F.coalesce("out", none).alias("out"), F.coalesce("in", none).alias("in"),
     ).where(~F.arrays_overlap("types", F.array(*map(F.lit, P.SCHEMA_TYPES))))
 
 
@@ -147,15 +158,17 @@ def page(nodes: DataFrame, number: int, size: int = 100, collation: str | None =
     return nodes.orderBy(order, "iri").offset(max(0, number) * size).limit(size)
 
 
-def ego(nodes: DataFrame, iri: str, most: int = 16) -> DataFrame:
-    """(p, other, outgoing): the first neighbours of a node, outgoing ones first."""
-    both = F.concat(
-        F.transform("out", lambda x: F.struct(x["p"].alias("p"), x["o"].alias("other"), F.lit(True).alias("outgoing"))),
-        F.transform("in", lambda x: F.struct(x["p"].alias("p"), x["s"].alias("other"), F.lit(False).alias("outgoing"))),
-    )
-    return nodes.where(F.col("iri") == iri).select(F.inline(F.slice(both, 1, most)))
+def ego(triples: DataFrame, iri: str, most: int = 16) -> DataFrame:
+    """(p, other, outgoing): the first neighbours of a node, outgoing ones first; every task keeps `most` rows."""
+    said = links(triples)
+    both = said.where(F.col("s") == iri).select("p", F.col("o").alias("other"), F.lit(True).alias("outgoing"))
+    both = both.unionByName(said.where(F.col("o") == iri).select("p", F.col("s").alias("other"), F.lit(False).alias("outgoing")))
+    return both.orderBy(F.desc("outgoing"), "p", "other").limit(most)
 
 
-def edge_groups(nodes: DataFrame, most: int = 200) -> DataFrame:
-    """(iri, p, n, shown): a node's outgoing edges by predicate, with the first of them."""
-    return nodes.select("iri", F.inline("out")).groupBy("iri", "p").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("o")), 1, most).alias("shown"))
+def edge_groups(triples: DataFrame, most: int = 200) -> DataFrame:
+    """(iri, p, n, shown): a node's outgoing edges by predicate, with the first `most` of them."""
+    said = links(triples).select(F.col("s").alias("iri"), "p", "o")
+    place = F.row_number().over(W.partitionBy("iri", "p").orderBy("o"))
+    shown = said.withColumn("place", place).where(F.col("place") <= most).groupBy("iri", "p").agg(F.array_sort(F.collect_list("o")).alias("shown"))
+    return said.groupBy("iri", "p").agg(F.count("*").alias("n")).join(shown, ["iri", "p"])

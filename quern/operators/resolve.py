@@ -1,34 +1,88 @@
-"""Titles, aliases and containment: joins by equality, with no nested loops.
+"""Titles, aliases and containment: no pair of a text and a key is ever tested without need.
 
-A text contains a key only where it contains the key's first characters, so containment is an equi-join on a gram
-of fixed size, confirmed by `contains`: the same rows as testing every pair, at a cost in proportion to text.
+Keys of few characters in all, as titles and aliases are, are sent to the texts: an automaton of all keys reads each
+text once where it lies, so texts are not shuffled.  The characters are counted first.  More keys go in several rounds, and
+beyond ROUNDS of them containment becomes an equi-join on grams: each key waits under the rarest of its grams, and only
+texts with that gram are confirmed by `contains`.  Rows are the same either way, which tests compare.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quern.functions import patterns as P
 from quern.functions.text import norm, strip
 
+#: Characters of the keys that one automaton holds, and automata that texts are read by at most.
+AUTOMATON, ROUNDS = 1_000_000, 8
+
 
 def grams(c: Column, size: int) -> Column:
     """The substrings of `size` characters, in one pass over the text."""
     return F.regexp_extract_all(c, F.lit("(?s)(?=(.{%d}))" % size), F.lit(1))
 
 
-def containing(texts: DataFrame, text: str, keys: DataFrame, key: str, size: int) -> DataFrame:
-    """Rows of texts and keys where texts.text contains keys.key; keys shorter than `size` take no part.
+def containing(texts: DataFrame, text: str, keys: DataFrame, key: str, size: int, keep: list[str] | None = None) -> DataFrame:
+    """Rows of texts (the columns `keep`, all by default) and keys where texts.text contains keys.key; keys shorter than `size` take no part."""
+    keep = keep if keep is not None else texts.columns
+    right = keys.where(F.length(key) >= size)
+    chars = right.select(key).distinct().agg(F.sum(F.length(key))).first()[0]
+    if not chars:
+        return texts.select(*keep).join(right, F.lit(False))
+    rounds = -(-chars // AUTOMATON)
+    if rounds > ROUNDS:
+        return _by_rarest_gram(texts, text, right, key, size).select(*keep, *right.columns)
+    found = None
+    for r in range(rounds):
+        part = right.select(key).distinct().where(F.pmod(F.xxhash64(key), F.lit(rounds)) == r)
+        hits = _scan(texts, text, [x[0] for x in part.collect()], keep)
+        found = hits if found is None else found.unionByName(hits)
+    return found.join(right.withColumnRenamed(key, "__key"), "__key").withColumnRenamed("__key", key).select(*keep, *right.columns)
+
+
+def _scan(texts: DataFrame, text: str, keys: list[str], keep: list[str]) -> DataFrame:
+    """The columns `keep` and __key, a row for each key that a text contains."""
+    shared = texts.sparkSession.sparkContext.broadcast(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for k in shared.value:
+            automaton.add_word(k, k)
+        if shared.value:
+            automaton.make_automaton()
+        for b in batches:
+            rows, hits = [], []
+            for i, t in enumerate(b.column(len(keep))):
+                found = sorted({k for _, k in automaton.iter(t.as_py())}) if t.is_valid and shared.value else []
+                rows += [i] * len(found)
+                hits += found
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns[:-1]), pa.array(hits, pa.string())], names=[*keep, "__key"])
+
+    inner = texts.select(*keep, F.col(text).alias("__text"))
+    return inner.mapInArrow(run, StructType([*inner.select(*keep).schema]).add("__key", "string"))
+
+
+def _by_rarest_gram(texts: DataFrame, text: str, keys: DataFrame, key: str, size: int) -> DataFrame:
+    """The same by an equi-join: of a key's grams the one that fewest keys have is its anchor.
 
-    Grams travel with a hash of their text, not with the text; only texts with a key's first gram are joined again, and
-    `contains` decides, so equal hashes do no harm.
+    Grams travel with a hash of their text, not with the text; only texts with an anchor are joined again.
     """
-    right = keys.where(F.length(key) >= size).withColumn("__gram", F.substring(key, 1, size))
-    found = texts.select(F.xxhash64(text).alias("__hash"), F.explode(grams(F.col(text), size)).alias("__gram"))
-    found = found.join(right.select("__gram").distinct(), "__gram", "left_semi").distinct()
-    pairs = found.join(right, "__gram").drop("__gram")
-    return texts.withColumn("__hash", F.xxhash64(text)).join(pairs, "__hash").where(F.contains(F.col(text), F.col(key))).drop("__hash")
+    own = keys.select(F.col(key).alias("__key")).distinct().withColumn("__gram", F.explode(F.array_distinct(grams(F.col("__key"), size))))
+    often = own.groupBy("__gram").agg(F.count("*").alias("__often"))
+    anchors = own.join(often, "__gram").groupBy("__key").agg(F.min_by("__gram", F.struct("__often", "__gram")).alias("__gram"))
+    found = texts.select(F.xxhash64(text).alias("__hash"), F.explode(F.array_distinct(grams(F.col(text), size))).alias("__gram"))
+    found = found.join(anchors.select("__gram").distinct(), "__gram", "left_semi").distinct()
+    pairs = found.join(anchors, "__gram").drop("__gram")
+    out = texts.withColumn("__hash", F.xxhash64(text)).join(pairs, "__hash").where(F.contains(F.col(text), F.col("__key"))).drop("__hash")
+    return out.join(keys.withColumnRenamed(key, "__key"), "__key").withColumnRenamed("__key", key)
 
 
 def registry(documents: DataFrame) -> DataFrame:
@@ -47,9 +101,7 @@ def resolve(wanted: DataFrame, titles: DataFrame, aliases: DataFrame | None = No
         found = found.withColumn("alias", F.lit(None).cast("string"))
     rest = found.where(F.col("exact").isNull() & F.col("alias").isNull() & (F.length("nt") >= min_len)).select("nt")
     inside = containing(names, "t", rest, "nt", min_len).select("nt", "v", "doc_ord")
-    short = F.least(F.length("t"), F.lit(3))
-    pieces = rest.withColumn("g", F.explode(F.array_distinct(F.concat(*(grams(F.col("nt"), n) for n in (1, 2, 3))))))
-    around = pieces.join(names.withColumn("g", F.substr("t", F.lit(1), short)), "g").where(F.contains("nt", "t")).select("nt", "v", "doc_ord")
+    around = containing(rest, "nt", names, "t", 1).select("nt", "v", "doc_ord")
     fuzzy = inside.unionByName(around).groupBy("nt").agg(F.min_by("v", "doc_ord").alias("fuzzy"))
     return found.join(fuzzy, "nt", "left").select("nt", F.coalesce("exact", "alias", "fuzzy").alias("value"))
 

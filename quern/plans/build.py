@@ -144,13 +144,19 @@ class Graph:
         count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("counter"), "n")
         mentions, triples = self.mentions, self.triples
         per_doc = mentions.groupBy("canon", "doc_iri").agg(F.bool_or("established").alias("e"))
-        found = self.named.select("canon").distinct()
+        whole = stored(extract.whole_organisations(self.named))
+        prose = self.chunks.where("(unit <> '조' OR unit IS NULL) AND chunk_id IS NOT NULL")
+        linked = [prose.select("chunk_id"), self.articles.where("chunk_id IS NOT NULL").select("chunk_id")]
+        said = [self.terms.select("term_iri", "chunk_id"), mentions.select("canon", "chunk_id")]
+        said = [x.where("chunk_id IS NOT NULL").distinct().select("chunk_id") for x in said]
         parts = [
             count(self.documents, "documents"), count(self.documents.where("nth > 1"), "doc_title_collisions"), count(self.aliases, "aliases"),
             count(self.articles, "articles"), count(triples.where("kind = 'date'"), "dates"), count(self.terms.select("term_iri").distinct(), "def_terms"),
             count(self.citations.where("external").select("value").distinct(), "ext_refs_unique"), count(self.references, "cite_edges"),
             count(self.plain, "plaintext_refs"), count(self.citations, "chunk_cite_links"), count(per_doc.select("canon").distinct(), "orgs"),
-            count(per_doc.where("e"), "org_established"), count(found.join(extract.whole_organisations(self.named), "canon", "left_anti"), "org_fragments_dropped"),
+            count(per_doc.where("e"), "org_established"), count(self.named.select("canon").distinct().join(whole, "canon", "left_anti"), "org_fragments_dropped"),
+            count(whole.join(mentions, "canon", "left_anti"), "org_llm_dropped"),
+            count(reduce(DataFrame.unionByName, linked), "chunk_links"), count(reduce(DataFrame.unionByName, said), "chunk_attr_links"),
             count(self.chunk_nodes, "chunks_annotated"), count(triples, "triples"),
         ]
         return reduce(DataFrame.unionByName, parts)

@@ -11,6 +11,7 @@ from quern.functions import patterns as P
 from quern.functions import text as T
 from quern.operators import chunking, classify, corpus, extract, graph, vector
 from quern.operators.resolve import containing, resolve
+from quern.plans import readiness
 from quern.plans.build import Graph
 from quern.plans.hybrid import HybridSession
 
@@ -20,7 +21,8 @@ ORACLE_SQL: dict[str, str] = {}
 #: The fixture corpus in DuckDB: chunks c, and documents d with their texts.
 C = (
     "WITH RECURSIVE c AS (" + corpus.FIXTURE_SQL.format(supplier="supplier", lineitem="lineitem") + "),\n"
-    "d AS (SELECT doc_key, doc_title, doc_family, string_agg(text, chr(10) ORDER BY seq) AS text, 'doc:d' || {id_title} AS iri FROM c GROUP BY ALL)"
+    "d AS MATERIALIZED (SELECT doc_key, doc_title, doc_family, text, squeezed, 'doc:d' || {id_title} AS iri FROM (SELECT doc_key, min(doc_title) AS doc_title, min(doc_family) AS doc_family, string_agg(text, chr(10) ORDER BY seq) AS text,\n"
+    "  regexp_replace(string_agg(text, '' ORDER BY seq), '\\s+', '', 'g') AS squeezed FROM c GROUP BY doc_key))"
 )
 _NS = P.NAMESPACE.replace("-", "")
 
@@ -30,7 +32,7 @@ def _hex(x: str, digits: int = 16) -> str:
     return f"substr(substr({h}, 1, 12) || '5' || substr({h}, 14, 3), 1, {digits})"
 
 
-C = C.replace("GROUP BY ALL)", "GROUP BY doc_key, doc_title, doc_family)").format(id_title=_hex("doc_title"))
+C = C.replace("{id_title}", _hex("doc_title"))
 #: e: references between documents and to statutes outside (dst, label).
 E = (
     C + """,
@@ -38,7 +40,7 @@ x AS (SELECT d.doc_key, d.iri AS src, trim(u.t) AS t FROM c JOIN d USING (doc_ke
 q AS (SELECT DISTINCT x.src, d.iri AS dst FROM x JOIN d ON d.doc_title = x.t WHERE d.iri <> x.src),
 o AS (SELECT DISTINCT x.src, 'doc:ext' || """ + _hex("x.t", 12) + """ AS dst, x.t AS label FROM x LEFT JOIN d ON d.doc_title = x.t
       WHERE d.iri IS NULL AND regexp_matches(x.t, '(법|법률|시행령|시행규칙|령|규칙)$')),
-p AS (SELECT DISTINCT a.iri AS src, b.iri AS dst FROM d a JOIN d b ON a.iri <> b.iri AND contains(regexp_replace(a.text, '\\s+', '', 'g'), b.doc_title)),
+p AS MATERIALIZED (SELECT DISTINCT a.iri AS src, b.iri AS dst FROM d a JOIN d b ON a.iri <> b.iri AND contains(a.squeezed, b.doc_title)),
 e AS (SELECT src, dst FROM q UNION SELECT src, dst FROM p UNION SELECT src, dst FROM o),
 l AS (SELECT iri, doc_title AS label FROM d UNION SELECT dst, label FROM o),
 b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"""
@@ -143,18 +145,19 @@ def vector_topk_batch(spark, sf_dir):
     return vector.top_k_batch(rows, queries, key="vec_id").select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH a AS ({_UNIT}) SELECT vec_id, round(v[1] / (sqrt(list_dot_product(v, v)) + 1e-9), 6) AS first, 1.0::DOUBLE AS length FROM a")
+@query(f"WITH a AS ({_UNIT}) SELECT vec_id, round(v[1] / (sqrt(list_dot_product(v, v)) + 1e-9), 6) AS first, round(sqrt(list_dot_product(v, v)) / (sqrt(list_dot_product(v, v)) + 1e-9), 6) AS length FROM a")
 def vector_normalize(spark, sf_dir):
     unit = table(spark, sf_dir, "embeddings").withColumn("u", vector.normalized(F.col("embedding")))
     return unit.select("vec_id", F.round(F.col("u")[0], 6).alias("first"), F.round(vector.norm(F.col("u")), 6).alias("length"))
 
 
-@query("SELECT count(*) AS n_rows, count(*) AS n_meta, min(len(embedding))::INTEGER AS dim_min, max(len(embedding))::INTEGER AS dim_max, true AS agree FROM embeddings")
+@query("""SELECT count(*) AS n_rows, (SELECT count(*) FROM documents) AS n_meta, min(len(embedding))::INTEGER AS dim_min, max(len(embedding))::INTEGER AS dim_max,
+count(*) = (SELECT count(*) FROM documents) AND count(*) = (SELECT count(*) FROM documents JOIN embeddings ON vec_id = doc_id) AS agree,
+min(len(embedding)) = 64 AND max(len(embedding)) = 64 AS fits FROM embeddings""")
 def preflight_counts(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings")
-    return rows.agg(F.count("*").alias("n_rows"), F.count("vec_id").alias("n_meta"), F.min(F.size("embedding")).alias("dim_min"), F.max(F.size("embedding")).alias("dim_max")).withColumn(
-        "agree", F.col("n_rows") == F.col("n_meta")
-    )
+    """Vectors against the documents' rows, which need not agree, and a dimension."""
+    meta = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"))
+    return readiness.vectors(table(spark, sf_dir, "embeddings"), meta, 64, key="vec_id")
 
 
 # --- ids and texts
@@ -177,7 +180,7 @@ def strip_markup(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.strip_markup(F.col("html")).alias("body"))
 
 
-@query("""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(text, '@{2,}', ' ', 'g'), '[·∙‥…]{2,}', ' ', 'g') AS t FROM documents)
+@query("""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '@{2,}', ' ', 'g'), '[·∙‥…]{2,}', ' ', 'g'), '[\\x{E000}-\\x{F8FF}]', ' ', 'g') AS t FROM documents)
 SELECT doc_id, md5(regexp_replace(regexp_replace(t, '[•■-◿☀-➿]', ' ', 'g'), '[ \\t]{2,}', ' ', 'g')) AS cleaned FROM a""")
 def clean_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean(F.col("text"))).alias("cleaned"))
@@ -203,12 +206,14 @@ def title_clean(spark, sf_dir):
     return rows.select("p_partkey", T.is_bad_title(F.col("title")).alias("bad"), T.clean_title(F.col("title"), source).alias("cleaned"))
 
 
-@query("""WITH t(title, tier) AS (SELECT DISTINCT doc_title, CASE right(doc_title, 2) WHEN '치법' THEN -3 WHEN '행령' THEN -2 WHEN '규칙' THEN -1 WHEN '규정' THEN 1
-WHEN '요령' THEN -2 ELSE 3 END FROM (SELECT concat('기관', lpad(CAST(s_suppkey AS VARCHAR), 4, '0'), CASE CAST(s_suppkey % 6 AS INT) WHEN 0 THEN '설치법' WHEN 1 THEN '시행령'
-WHEN 2 THEN '시행규칙' WHEN 3 THEN '업무규정' WHEN 4 THEN '운영요령' ELSE '처리지침' END) AS doc_title FROM supplier)) SELECT title, tier FROM t""")
+_TITLE = """concat('기관', p_partkey, CASE CAST(p_partkey % 10 AS INT) WHEN 0 THEN '설치법' WHEN 1 THEN '시행령' WHEN 2 THEN '시행규칙' WHEN 3 THEN '업무규정'
+WHEN 4 THEN '운영요령' WHEN 5 THEN '요령집' WHEN 6 THEN '처리지침' WHEN 7 THEN '안내' WHEN 8 THEN '정관' ELSE '법률 시행규칙' END)"""
+
+
+@query(f"""SELECT {_TITLE} AS title, CAST(CASE CAST(p_partkey % 10 AS INT) WHEN 0 THEN -3 WHEN 1 THEN -2 WHEN 2 THEN -1 WHEN 3 THEN 1 WHEN 4 THEN -2 WHEN 5 THEN 2
+WHEN 6 THEN 3 WHEN 7 THEN 4 WHEN 8 THEN 1 ELSE -3 END AS INTEGER) AS tier FROM part""")
 def rank_ladder(spark, sf_dir):
-    titles = corpus.fixture_chunks(spark, sf_dir).select(F.col("doc_title").alias("title")).distinct()
-    return titles.select("title", T.rank(F.col("title")).alias("tier"))
+    return table(spark, sf_dir, "part").select(F.expr(_TITLE).alias("title")).select("title", T.rank(F.col("title")).alias("tier"))
 
 
 # --- chunking
@@ -280,7 +285,7 @@ def plaintext_refs(spark, sf_dir):
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON length(b.text) >= 12 AND contains(d.text, b.text)")
 def benchmark_containment(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    return containing(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", items, "item", 12).select("doc_id", "item_id").distinct()
+    return containing(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", items, "item", 12, keep=["doc_id"]).select("doc_id", "item_id").distinct()
 
 
 @query("""WITH p AS (SELECT p_partkey, '외부' || (p_partkey % 40) || '관리규정' AS t FROM part), k AS (SELECT DISTINCT t, min(p_partkey) AS ord FROM p GROUP BY t),
@@ -340,11 +345,21 @@ def kg_triples(spark, sf_dir):
     return built(spark, sf_dir).triples.select("s", "p", "o", "kind")
 
 
-@query(E + """ SELECT 'documents' AS counter, count(*) AS n FROM d UNION ALL SELECT 'cite_edges', count(*) FROM e UNION ALL SELECT 'ext_refs_unique', count(DISTINCT dst) FROM o
-UNION ALL SELECT 'articles', count(*) FROM c WHERE unit = '조' UNION ALL SELECT 'plaintext_refs', count(*) FROM (SELECT src, dst FROM p EXCEPT SELECT src, dst FROM q)
-UNION ALL SELECT 'doc_title_collisions', 0""")
+STATS = """ SELECT 'documents' AS counter, count(*) AS n FROM d UNION ALL SELECT 'doc_title_collisions', count(*) - count(DISTINCT doc_title) FROM d
+UNION ALL SELECT 'aliases', count(*) FROM t WHERE p = 'skos:altLabel' UNION ALL SELECT 'articles', count(*) FROM a UNION ALL SELECT 'dates', count(*) FROM t WHERE kind = 'date'
+UNION ALL SELECT 'def_terms', count(DISTINCT term_iri) FROM y UNION ALL SELECT 'ext_refs_unique', count(DISTINCT dst) FROM o UNION ALL SELECT 'cite_edges', count(*) FROM e
+UNION ALL SELECT 'plaintext_refs', count(*) FROM (SELECT src, dst FROM p EXCEPT SELECT src, dst FROM q)
+UNION ALL SELECT 'chunk_cite_links', (SELECT count(*) FROM r JOIN d ON d.doc_title = said WHERE d.iri <> src) + (SELECT count(*) FROM r WHERE said IN (SELECT label FROM o))
+UNION ALL SELECT 'orgs', count(DISTINCT org) FROM z UNION ALL SELECT 'org_established', count(DISTINCT iri) FROM z
+UNION ALL SELECT 'org_fragments_dropped', count(*) FROM z WHERE org = iri UNION ALL SELECT 'org_llm_dropped', count(*) FROM z WHERE org IS NULL
+UNION ALL SELECT 'chunk_links', (SELECT count(*) FROM k WHERE unit <> '조') + (SELECT count(*) FROM a)
+UNION ALL SELECT 'chunk_attr_links', (SELECT count(*) FROM (SELECT DISTINCT org, chunk_id FROM z)) + (SELECT count(*) FROM (SELECT DISTINCT term_iri, chunk_id FROM y))
+UNION ALL SELECT 'chunks_annotated', count(DISTINCT chunk_id) FROM n UNION ALL SELECT 'triples', count(*) FROM t"""
+
+
+@query(TRIPLES + STATS)
 def kg_stats(spark, sf_dir):
-    return built(spark, sf_dir).stats().where("counter IN ('documents', 'cite_edges', 'ext_refs_unique', 'articles', 'plaintext_refs', 'doc_title_collisions')")
+    return built(spark, sf_dir).stats()
 
 
 @query(f"""WITH t AS (SELECT s_suppkey, '기관' || (s_suppkey % 10) || '규정' AS title, row_number() OVER (PARTITION BY s_suppkey % 10 ORDER BY s_suppkey) AS nth FROM supplier)
@@ -388,7 +403,7 @@ def proposal_gates(spark, sf_dir):
 
 
 @query(C + """, g AS (SELECT * FROM d WHERE doc_family = '법규체'), t AS (
-SELECT a.doc_key, a.doc_title, a.text, b.doc_title AS target FROM g a JOIN g b ON a.doc_key <> b.doc_key AND contains(regexp_replace(a.text, '\\s+', '', 'g'), b.doc_title))
+SELECT a.doc_key, a.doc_title, a.text, b.doc_title AS target FROM g a JOIN g b ON a.doc_key <> b.doc_key AND contains(a.squeezed, b.doc_title))
 SELECT doc_title AS src_title, substr(sha1(text), 1, 12) AS content_hash, CAST(count(DISTINCT target) AS INTEGER) AS n_targets FROM t WHERE doc_key % 2 <> 0 GROUP BY 1, 2""")
 def proposals_missing(spark, sf_dir):
     docs = built(spark, sf_dir).documents
@@ -452,17 +467,23 @@ def kg_facts(spark, sf_dir):
     return graph.facts(built(spark, sf_dir).triples, _seed(spark, sf_dir)).select("prio", "fact")
 
 
-@query(E + " SELECT iri, label, (SELECT count(*) FROM e WHERE e.dst = d.iri) AS n_in FROM (SELECT iri, doc_title AS label FROM d) d")
+_INDEX = TRIPLES + """, u AS (SELECT * FROM t WHERE kind = 'iri' AND p <> 'rdf:type'),
+un AS (SELECT s AS iri, string_agg(p || ' ' || n, ', ' ORDER BY p) AS n_out FROM (SELECT s, p, count(*) AS n FROM u GROUP BY ALL) GROUP BY s),
+ui AS (SELECT o AS iri, string_agg(p || ' ' || n, ', ' ORDER BY p) AS n_in FROM (SELECT o, p, count(*) AS n FROM u GROUP BY ALL) GROUP BY o),
+nodes AS (SELECT s AS iri, max(o) FILTER (WHERE p IN ('rdfs:label', 'skos:prefLabel')) AS label, string_agg(DISTINCT split_part(o, ':', 2), ' ') FILTER (WHERE p = 'rdf:type') AS types,
+  CAST(count(DISTINCT p) FILTER (WHERE kind <> 'iri' AND p NOT IN ('rdfs:label', 'skos:prefLabel')) AS INTEGER) AS n_attrs FROM t GROUP BY s)"""
+
+
+@query(_INDEX + " SELECT iri, label, types, coalesce(n_out, '') AS n_out, coalesce(n_in, '') AS n_in, n_attrs FROM nodes LEFT JOIN un USING (iri) LEFT JOIN ui USING (iri)")
 def node_index_counts(spark, sf_dir):
     nodes = graph.node_index(built(spark, sf_dir).triples)
-    n = F.size(F.filter("in", lambda x: x["p"] == "dct:references"))
-    return nodes.where("iri LIKE 'doc:d%' AND NOT iri LIKE '%\\\\_%'").select("iri", "label", n.cast("long").alias("n_in"))
+    said = lambda side: F.array_join(F.transform(side, lambda x: F.concat_ws(" ", x["p"], x["n"].cast("string"))), ", ")
+    return nodes.select("iri", "label", F.array_join("types", " ").alias("types"), said(F.col("out")).alias("n_out"), said(F.col("in")).alias("n_in"), F.size("attrs").alias("n_attrs"))
 
 
-@query(E + """ SELECT 'LegalResource' AS type, (SELECT count(*) FROM d) + (SELECT count(DISTINCT dst) FROM o) AS n WHERE (SELECT count(*) FROM d WHERE doc_family <> '법규체') >= 0
-UNION ALL SELECT 'LegalResourceSubdivision', count(*) FROM c WHERE unit = '조'""")
+@query(TRIPLES + " SELECT split_part(o, ':', 2) AS type, count(DISTINCT s) AS n FROM t WHERE p = 'rdf:type' GROUP BY 1")
 def type_histogram(spark, sf_dir):
-    return graph.type_histogram(graph.node_index(built(spark, sf_dir).triples)).where("type LIKE 'LegalResource%'")
+    return graph.type_histogram(graph.node_index(built(spark, sf_dir).triples))
 
 
 @query(E + " SELECT iri, doc_title AS label FROM d WHERE contains(doc_title, '시행령')")
@@ -470,7 +491,7 @@ def node_search(spark, sf_dir):
     return graph.search(graph.node_index(built(spark, sf_dir).triples), "시행령", ["LegalResource"]).select("iri", "label")
 
 
-@query(TRIPLES + " SELECT s AS iri, o AS label FROM t WHERE p IN ('rdfs:label', 'skos:prefLabel') ORDER BY label, iri LIMIT 20 OFFSET 20")
+@query(TRIPLES + " SELECT s AS iri, o AS label FROM t WHERE p IN ('rdfs:label', 'skos:prefLabel') ORDER BY label COLLATE ko, iri LIMIT 20 OFFSET 20")
 def node_page(spark, sf_dir):
     return graph.page(graph.node_index(built(spark, sf_dir).triples), 1, 20, "ko").select("iri", "label")
 
@@ -479,12 +500,13 @@ def node_page(spark, sf_dir):
 UNION ALL SELECT p, s, false FROM t, i WHERE o = iri AND kind = 'iri' AND p <> 'rdf:type') SELECT * FROM v ORDER BY outgoing DESC, p, other LIMIT 16""")
 def ego_graph(spark, sf_dir):
     g = built(spark, sf_dir)
-    return graph.ego(graph.node_index(g.triples), _seed(spark, sf_dir).first()[0])
+    return graph.ego(g.triples, _seed(spark, sf_dir).first()[0])
 
 
-@query(TRIPLES + " SELECT s AS iri, p, count(*) AS n, CAST(least(count(*), 200) AS INTEGER) AS n_shown FROM t WHERE kind = 'iri' AND p <> 'rdf:type' GROUP BY s, p")
+@query(TRIPLES + " SELECT s AS iri, p, count(*) AS n, CAST(least(count(*), 200) AS INTEGER) AS n_shown, md5(array_to_string(list_slice(list_sort(list(o)), 1, 200), ' ')) AS shown_md5 FROM t WHERE kind = 'iri' AND p <> 'rdf:type' GROUP BY s, p")
 def edge_groups(spark, sf_dir):
-    return graph.edge_groups(graph.node_index(built(spark, sf_dir).triples)).select("iri", "p", "n", F.size("shown").alias("n_shown"))
+    shown = graph.edge_groups(built(spark, sf_dir).triples)
+    return shown.select("iri", "p", "n", F.size("shown").alias("n_shown"), F.md5(F.array_join("shown", " ")).alias("shown_md5"))
 
 
 # --- hybrid
@@ -557,13 +579,15 @@ def incremental_changed(spark, sf_dir):
     return changed(rows, old).select("doc_id", "content_hash")
 
 
-@query("SELECT conv_id, turn, 0 AS n_hangul, false AS passes FROM conversations")
+@query("""WITH h AS (SELECT conv_id, turn, length(regexp_replace(text, '[^가-힣]', '', 'g')) + 2 * (conv_id % 400) + turn % 3 AS n FROM conversations)
+SELECT conv_id, turn, CAST(n AS INTEGER) AS n_hangul, n >= 400 AS passes FROM h""")
 def hangul_gate(spark, sf_dir):
-    n = T.hangul_count(F.col("text"))
+    said = "concat(text, ' ', repeat('한 글ㄱA', CAST(conv_id % 400 AS INT)), repeat('힣', CAST(turn % 3 AS INT)), '1가나'), '가나', '')"
+    n = T.hangul_count(F.expr(f"replace({said}"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", n.alias("n_hangul"), (n >= 400).alias("passes"))
 
 
-@query("SELECT event_id, CAST(event_id % 7 AS BIGINT) AS a, CAST(3 AS BIGINT) AS b FROM events")
+@query("SELECT event_id, CAST(event_id % 7 AS BIGINT) AS a, CAST(event_id % 11 AS BIGINT) AS b FROM events")
 def json_scrape(spark, sf_dir):
-    said = F.concat(F.lit("결과는 ["), (F.col("event_id") % 7).cast("string"), F.lit(", 3] 입니다"))
+    said = F.concat(F.lit("결과는 ["), (F.col("event_id") % 7).cast("string"), F.lit(", "), (F.col("event_id") % 11).cast("string"), F.lit("] 입니다"))
     return table(spark, sf_dir, "events").select("event_id", T.json_array(said, "array<bigint>").alias("x")).select("event_id", F.col("x")[0].alias("a"), F.col("x")[1].alias("b"))

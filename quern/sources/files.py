@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+import re
+import zipfile
 from collections.abc import Iterator
+from typing import IO
+from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.text import strip
 
 PARAGRAPH = "{http://www.hancom.co.kr/hwpml/2011/paragraph}"
+SECTION = re.compile(r"section\d+\.xml$", re.IGNORECASE)
 
 
 def _named(df: DataFrame) -> DataFrame:
@@ -25,40 +33,64 @@ def read_txt(spark: SparkSession, folder: str) -> DataFrame:
     return _named(files.select("path", F.filter(lines, lambda x: x != "").alias("paragraphs"))).select("path", "file_name", "title", "paragraphs")
 
 
-def paragraphs(content: bytes) -> list[str]:
-    """Paragraphs of a zipped document's sections in the order of their names; sections that are no XML are skipped."""
-    import io
-    import re
-    import zipfile
-    from xml.etree import ElementTree
-
-    out: list[str] = []
-    try:
-        archive = zipfile.ZipFile(io.BytesIO(content))
-    except zipfile.BadZipFile:
-        return out
-    with archive:
-        for name in sorted(n for n in archive.namelist() if re.search(r"section\d+\.xml$", n, re.I)):
-            try:
-                root = ElementTree.fromstring(archive.read(name))
-            except ElementTree.ParseError:
-                continue
-            for p in root.iter(PARAGRAPH + "p"):
-                text = " ".join("".join(t.text or "" for t in p.iter(PARAGRAPH + "t")).split())
-                if text:
-                    out.append(text)
+def _section(stream: IO[bytes]) -> list[tuple[int, str]]:
+    """(place, text) of the paragraphs of a section, read as a stream.
+
+    A paragraph within another, as in a table, is one of its own, and its text is also the outer one's: whatever a text element
+    holds goes to all paragraphs that are open there.  Elements are let go once they are read.
+    """
+    open_: list[tuple[int, list[str]]] = []
+    out: list[tuple[int, str]] = []
+    begun = 0
+    for event, element in ElementTree.iterparse(stream, events=("start", "end")):
+        if element.tag == PARAGRAPH + "p":
+            if event == "start":
+                open_.append((begun, []))
+                begun += 1
+            else:
+                place, parts = open_.pop()
+                out.append((place, "".join(parts)))
+                if not open_:
+                    element.clear()
+        elif event == "end" and element.tag == PARAGRAPH + "t":
+            for _, parts in open_:
+                parts.append(element.text or "")
     return out
 
 
-def read_hwpx(spark: SparkSession, folder: str) -> DataFrame:
-    """The same of *.hwpx."""
+def section_paragraphs(content: bytes) -> Iterator[tuple[str, int, str]]:
+    """(section, place, text) of a zipped document: white space collapsed, empty ones left out; sections that are no XML have none."""
+    if not zipfile.is_zipfile(io.BytesIO(content)):
+        return
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        for entry in archive.infolist():
+            if SECTION.search(entry.filename):
+                with archive.open(entry) as stream, contextlib.suppress(ElementTree.ParseError):
+                    for place, text in _section(stream):
+                        if said := " ".join(text.split()):
+                            yield entry.filename, place, said
+
+
+def hwpx_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, section, place, text) of *.hwpx: a row for each paragraph."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.hwpx").load(folder)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
-            yield pd.DataFrame({"path": df["path"], "paragraphs": [paragraphs(c) for c in df["content"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(path, *x) for path, content in zip(b.column(0).to_pylist(), b.column(1)) for x in section_paragraphs(content.as_py())]
+            kinds = {"path": pa.string(), "section": pa.string(), "place": pa.int32(), "text": pa.string()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], names=list(kinds))
 
-    return _named(files.select("path", "content").mapInPandas(run, "path string, paragraphs array<string>")).select("path", "file_name", "title", "paragraphs")
+    return files.select("path", "content").mapInArrow(run, "path string, section string, place int, text string")
+
+
+def read_hwpx(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, file_name, title, paragraphs) of *.hwpx: sections in the order of their names."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.hwpx").load(folder).select("path")
+    rows = F.array_sort(F.collect_list(F.struct("section", "place", "text")))
+    said = hwpx_paragraphs(spark, folder).groupBy("path").agg(F.transform(rows, lambda x: x["text"]).alias("paragraphs"))
+    out = files.join(said, "path", "left").withColumn("paragraphs", F.coalesce("paragraphs", F.array().cast("array<string>")))
+    return _named(out).select("path", "file_name", "title", "paragraphs")
 
 
 def read_pdf(spark: SparkSession, folder: str, pages: int = 60) -> DataFrame:
@@ -66,8 +98,6 @@ def read_pdf(spark: SparkSession, folder: str, pages: int = 60) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(folder)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
         import fitz
 
         for df in frames:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,6 +23,41 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return rows
 
 
+def search_url(base: str, caller: str, target: str, query: Column, display: int = 100, page: Column | None = None) -> Column:
+    """The address of a search, its query as UTF-8 percent escapes."""
+    parts = [F.lit(f"{base}/lawSearch.do?OC={caller}&target={target}&type=JSON&display={min(display, 100)}")]
+    parts += [F.lit("&page="), page.cast("string")] if page is not None else []
+    return F.concat(*parts, F.lit("&query="), _escaped(query))
+
+
+def body_url(base: str, caller: str, target: str, key: Column) -> Column:
+    """The address of a body: of a rule by its name, of a statute by its serial number."""
+    return F.concat(F.lit(f"{base}/lawService.do?OC={caller}&target={target}&type=JSON&{'LM' if target == 'admrul' else 'MST'}="), _escaped(key))
+
+
+def _escaped(c: Column) -> Column:
+    # a path's escapes: url_encode is that of forms
+    c = F.url_encode(c.cast("string"))
+    for form, path in (("+", "%20"), ("*", "%2A"), ("%2F", "/"), ("%7E", "~")):
+        c = F.replace(c, F.lit(form), F.lit(path))
+    return c
+
+
+def bodies(found: DataFrame, answers: DataFrame, target: str) -> DataFrame:
+    """(sid, name, payload): of recorded bodies (key, payload) that of each hit, by name for rules, by serial number for statutes."""
+    key = F.col("name" if target == "admrul" else "sid")
+    return found.select("sid", "name", key.alias("key")).distinct().join(answers.select("key", "payload"), "key").select("sid", "name", "payload")
+
+
+def paged(found: DataFrame, answers: DataFrame) -> DataFrame:
+    """Hits before the first page of their query (answers: query, page) that has none; of a serial number within a query the first."""
+    empty = answers.select("query", "page").distinct().join(found.select("query", "page").distinct(), ["query", "page"], "left_anti")
+    end = empty.groupBy("query").agg(F.min("page").alias("end"))
+    nth = F.row_number().over(W.partitionBy("query", "sid").orderBy("page", "pos"))
+    rows = found.join(end, "query", "left").where("end IS NULL OR page < end").drop("end")
+    return rows.withColumn("nth", nth).where("nth = 1").drop("nth")
+
+
 def hits(answers: DataFrame, key: str = "law") -> DataFrame:
     """(query, page, pos, sid, name) of search answers (query, page, payload); key: part of the name of the list."""
     items = F.from_json(find_key(F.col("payload"), key, "list"), "array<string>")

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sinks.store import numbered
+
 SCHEMA = "row_id long, id string, doc string, text string, embedding array<float>"
 
 
@@ -16,9 +18,10 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """(row_id, doc, text, embedding): lines that are no such object are left out."""
-    rows = spark.read.schema("doc string, text string, embedding array<float>").option("mode", "DROPMALFORMED").json(path).where("embedding IS NOT NULL")
-    return rows.select(F.monotonically_increasing_id().alias("row_id"), "doc", "text", "embedding")
+    """(row_id, doc, text, embedding): lines that are no such object are left out; row_id is the place among the others, by file and line."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+    rows = lines.withColumn("m", F.from_json("value", "doc string, text string, embedding array<float>")).where("m.embedding IS NOT NULL").drop("value")
+    return numbered(rows, "row_id", "file", "block", "line").select("row_id", "m.doc", "m.text", "m.embedding")
 
 
 def read_npy(spark: SparkSession, matrix: str, meta: str) -> DataFrame:

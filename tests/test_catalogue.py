@@ -5,7 +5,7 @@ import glob
 import duckdb
 import pytest
 
-from quern.plans import catalogue
+from quern.plans import catalogue, catalogue_io  # noqa: F401  (the second adds its queries to the first's)
 
 FOLDER = "/root/testdata/sf0.001"
 

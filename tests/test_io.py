@@ -91,6 +91,24 @@ def test_search_answers_and_attachments(spark):
     assert [(r.sid, len(r.text)) for r in payloads.readable(texts).collect()] == [("1", 400)]
 
 
+def test_pages_end_at_the_first_empty_one(spark):
+    answers = spark.createDataFrame([(q, p) for q in "ab" for p in (1, 2, 3, 4)], "query string, page int")
+    hits = spark.createDataFrame([("a", 1, 0, "1", "x"), ("a", 1, 1, "1", "y"), ("a", 2, 0, "2", "z"), ("a", 4, 0, "3", "late"), ("b", 1, 0, "1", "x"), ("b", 2, 0, "1", "w")], "query string, page int, pos int, sid string, name string")
+    got = sorted((r["query"], r.sid, r.name) for r in payloads.paged(hits, answers).collect())
+    assert got == [("a", "1", "x"), ("a", "2", "z"), ("b", "1", "x")]
+
+
+def test_sections_with_nested_paragraphs():
+    ns = files.PARAGRAPH[1:-1]
+    xml = f'<s xmlns:p="{ns}"><p:p><p:t>밖 </p:t><p:tbl><p:p><p:t>안\u00a0하나</p:t></p:p><p:p><p:t> </p:t></p:p></p:tbl><p:t>끝</p:t></p:p><p:p><p:t>둘</p:t></p:p></s>'
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w") as z:
+        z.writestr("Contents/section0.xml", xml)
+        z.writestr("Contents/header.xml", xml)
+    got = sorted(files.section_paragraphs(made.getvalue()))
+    assert [t for _, _, t in got] == ["밖 안 하나 끝", "안 하나", "둘"]
+
+
 def test_turtle_round_trip_and_foreign_lines(spark, tmp_path):
     rows = [(1, "doc:d1", "rdfs:label", 'a "b" \\ c', "lit"), (2, "doc:d1", "dct:modified", "2023-05-01", "date"), (3, "doc:d1", "reg:external", "true", "bool"), (4, "doc:d1", "eli:cites", "doc:d2", "iri")]
     df = spark.createDataFrame(rows, "ord int, s string, p string, o string, kind string")
