@@ -171,8 +171,9 @@ def allocate(docs: DataFrame, shards: int = SHARDS, seed: int = 1, block_words:
     whole = rows.where("__cut IS NULL").withColumns({"size": n_words(F.col("text")), "__before": F.lit(0).cast("long")})
     # a cut block has as many rows with words as it has words at most; rows without are not gathered
     cut = rows.where("__cut IS NOT NULL").withColumn("size", n_words(F.col("text")))
-    none = cut.where("size = 0").withColumn("__before", F.lit(0).cast("long"))
-    cut = cut.where("size > 0").withColumn("__before", F.coalesce(before, F.lit(0)))
+    # conditions that name __cut stay above the join, so words are counted in the rows of cut blocks alone
+    none = cut.where("IF(__cut IS NULL, 1, size) = 0").withColumn("__before", F.lit(0).cast("long"))
+    cut = cut.where("IF(__cut IS NULL, 0, size) > 0").withColumn("__before", F.coalesce(before, F.lit(0)))
     rows = whole.unionByName(cut).unionByName(none)
     part = "IF(d.cut IS NULL, size, greatest(0L, least(size, d.cut - __before)))"
     return rows.select(
