@@ -198,6 +198,32 @@ def test_chunks_are_reused(tokenizer):
     assert len(codec.known) - seen <= 4 < seen
 
 
+@pytest.mark.parametrize("bits, least, look", [(2, 1, 16), (4, 3, 20), (5, 32, 64)])
+def test_joins_are_repaired_to_agreement(tokenizer, monkeypatch, bits, least, look):
+    """Texts of awkward bits, cut nearly everywhere."""
+    monkeypatch.setattr(bpe, "CUT_BITS", bits)
+    monkeypatch.setattr(bpe, "LEAST", least)
+    monkeypatch.setattr(bpe, "LOOK", look)
+    codec = bpe.Codec(bpe.vocabulary())
+    rng = np.random.default_rng(bits)
+    kinds = [
+        ["a", "b", " ", "  ", "\n", "'", "'ll", "'re", "s", "t", "the ", "1", "23", "!", "?!", "\t", "é", "日本", "한"],
+        [" ", "\n", " ", "\r\n", "x"], ["'", "l", "l", "v", "e", " "], ["\U0001f600", "a", " ", "\u0301", "\x85", "\u2028", "１", "\x1c"],
+        ["ab", "cd", "xyz", "q"], ["<|endoftext|>", "<|endof", "text|>", " a", "\n"], ["=", "-", "*"], ["0", "9", "５"],
+    ]
+    cut = 0
+    for _ in range(150):
+        rows = ["".join(rng.choice(kinds[rng.integers(len(kinds))], rng.integers(1, 400))) for _ in range(rng.integers(1, 4))]
+        rows.append("".join(rng.choice(kinds[rng.integers(len(kinds))]) for _ in range(600)))
+        enc = [r.encode() for r in rows]
+        data, offsets = np.frombuffer(b"".join(enc), np.uint8), np.concatenate([[0], np.cumsum([len(e) for e in enc])])
+        ids, first = codec.encode(data, offsets)
+        cut += len(codec.cuts(data, offsets)) - len(offsets)
+        for r, a, b in zip(rows, first[:-1], first[1:]):
+            assert ids[a:b].tolist() == tokenizer.encode(r, add_special_tokens=False).ids, repr(r)
+    assert cut > 3_000
+
+
 def test_decode_replaces_broken_bytes(spark, tokenizer):
     ids = tokenizer.encode("é", add_special_tokens=False).ids or []
     ids = ids if len(ids) > 1 else tokenizer.encode("\U0001f9ff", add_special_tokens=False).ids
