@@ -16,8 +16,10 @@ an empty set that links with nothing.  Two sets link when 100 * shared >= 85 * u
    a task has two blocks, with the whole texts, counts shared runs through an inverted list and emits a forest of
    confirmed links.  Components of those are the result.  A pair is left out only when both are connected already.
 
-Nothing grows with the square of a group of copies, and no task holds more than two blocks.  A null doc_id is
-returned as its own, unlinked row; repeated rows share their class; other columns are ignored.
+Nothing grows with the square of a group of copies, and no task holds more than two blocks of different texts: repeated rows
+of a cluster go on once.  A null doc_id is returned as its own, unlinked row; a null text has an empty set; repeated rows share
+their class; an empty table gives no rows; very long texts are taken whole, at some 100 bytes of a worker's memory for each word;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -203,7 +205,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.col("component").alias("cluster"), F.col("node").alias("rep"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("x")
     )
     # a sort-merge join at every size: the clusters grow with the documents, so they are not to be broadcast
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").hint("merge").join(placed, "rep")
+    texts = docs.select(F.col("doc_id").alias("rep"), "text", F.xxhash64("text").alias("mark")).hint("merge").join(placed, "rep").dropDuplicates(["rep", "mark"])
     tasks = texts.select(
         "cluster", "rep", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"), "x"
     ).select("cluster", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "rep", "text")

@@ -9,8 +9,11 @@ turn - 1 of its conversation; or else it begins a thread.  Threads are found by
 its thread, its depth in it and its body without quotations; order by (thread, depth, turn) is the reply order.
 
 Originals are reduced to one row for each passage (and conversation) before any join, so a passage that a third of
-all messages share costs one row; no conversation or thread is ever gathered.  Null texts have an empty body; messages
-with a null conv_id or turn stand alone; messages that share both are one node of a thread, each with its own body.
+all messages share costs one row; no conversation or thread is ever gathered.  Messages that quote a passage which very many
+quote are sent the original instead of meeting at its hash: passages quoted in more than a SHAREth of all quotations are fewer than
+SHARE and are broadcast.  Null texts have an empty body; messages with a null conv_id or turn stand alone; messages that share
+both are one node of a thread, each with its own body; repeated rows are each returned.  Very long texts are parsed whole, an
+empty table gives no rows, and other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from pyspark.sql import functions as F
 
 from quern.llm.scratch import Scratch
 
+SHARE = 1_000
+
 _LINES = r"""transform(split(translate(coalesce(text, ''), '\u0001\u0002', '  '), '\\r\\n|\\n|\\r', -1), s -> named_struct(
     'lv', length(regexp_replace(regexp_extract(s, '^((?:[ \\t]?>)*)', 1), '[^>]', '')),
     'c', trim(regexp_replace(s, '^(?:[ \\t]?>)*', ''))))"""
@@ -87,10 +92,12 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     here = own.groupBy("hash", "conv_id").agg(F.min("turn").alias("o_turn"))
     anywhere = own.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("o"))
     anywhere = anywhere.select("hash", F.col("o.conv_id").alias("w_conv"), F.col("o.turn").alias("w_turn"))
+    quoted = scratch.keep(passages.where("level > 0").distinct().join(here, ["hash", "conv_id"], "left"))
+    often = quoted.groupBy("hash").count().where(F.col("count") > quoted.count() // SHARE).select("hash")
+    often = scratch.keep(often.join(anywhere, "hash", "left"))
+    rest = quoted.join(F.broadcast(often.select("hash")), "hash", "left_anti").join(anywhere, "hash", "left")
     linked = (
-        passages.where("level > 0").distinct()
-        .join(here, ["hash", "conv_id"], "left")
-        .join(anywhere, "hash", "left")
+        quoted.join(F.broadcast(often), "hash").unionByName(rest)
         .selectExpr(
             "conv_id", "turn", "level",
             "CASE WHEN o_turn < turn THEN conv_id WHEN w_conv < conv_id THEN w_conv END AS o_conv",

@@ -53,12 +53,16 @@ class Scratch:
             _delete(self.spark, df._scratch_path)
 
     @classmethod
-    def clear(cls, spark: SparkSession) -> None:
-        """Removes all tables of this application.  Results of operators read them: call it once those are written."""
-        app = spark.sparkContext.applicationId
-        for _, root in [x for x in cls._roots if x[0] == app]:
-            _delete(spark, root)
-        cls._roots[:] = [x for x in cls._roots if x[0] != app]
+    def made(cls) -> int:
+        return len(cls._roots)
+
+    @classmethod
+    def clear(cls, spark: SparkSession, since: int = 0) -> None:
+        """Removes the tables of runs that began after the first `since`.  Results of operators read them: call it once those are written."""
+        for app, root in cls._roots[since:]:
+            if app == spark.sparkContext.applicationId:
+                _delete(spark, root)
+        del cls._roots[since:]
 
 
 def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:

@@ -162,7 +162,10 @@ BATCH_BYTES = 8 << 20
 
 
 def carry(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, int, StructType]:
-    """(what a worker is sent: `keep` and the text, once; the place of the text; the schema of `keep`)."""
+    """(what a worker is sent: `keep` and the text, once; the place of the text; the schema of `keep`).
+
+    Lowers spark.sql.execution.arrow.maxBytesPerBatch of the session to BATCH_BYTES if it is above: plans read it when they run.
+    """
     conf = docs.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > BATCH_BYTES:
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -140,6 +140,33 @@ def test_quotes_are_linked_and_removed(spark):
     assert say(4, 0, "i")[0] == "" and say(4, 0, "j")[0] == "twin"
 
 
+def test_chat_is_its_sql(spark, tmp_path, monkeypatch):
+    """The registered SQL on conversations that quote, some passages very often, with clashing columns."""
+    import duckdb
+
+    from quern.llm import queries
+
+    rng = random.Random(5)
+    said = ["yes", "no way", "a  Longer passage\nof two lines", "third", "popular passage"] + [f"p{i}" for i in range(40)]
+    rows = []
+    for c in range(60):
+        for t in range(rng.randint(1, 7)):
+            text = "\n\n".join(rng.choice(["> ", "", "", "> > "]) + rng.choice(said).replace("\n", "\n> ") for _ in range(rng.randint(0, 4)))
+            rows.append((c, t + (t > 3), rng.choice(["user", "bot"]), rng.choice([text, text, "Ann wrote:\n> popular passage\n" + text, None]), "x", 7))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, hash string, depth int")
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    ran = con.execute(queries.ORACLE_SQL["op5_chat_format"])
+    names = [c[0] for c in ran.description]
+    want = ran.fetchall()
+    for share in (1_000, 3):
+        monkeypatch.setattr(quotes, "SHARE", share)
+        got = queries.QUERIES["op5_chat_format"](spark, str(tmp_path)).select(*names).collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert sum(r[names.index("n_linked")] for r in want) > 20
+
+
 def test_long_threads(spark):
     n = 300
     rng = random.Random(2)
