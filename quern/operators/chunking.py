@@ -32,18 +32,21 @@ def outline_sections(full: Column) -> Column:
 
 
 def pack_sentences(section: Column, window: int = 900) -> Column:
-    """Array of pieces of whole sentences, none over `window` characters but single sentences."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def step(acc, sentence):
-        full = (F.length(acc["open"]) + F.length(sentence) > window) & (acc["open"] != "")
-        return F.when(
-            full, F.struct(F.concat(acc["done"], F.array(T.strip(acc["open"]))).alias("done"), F.concat(sentence, F.lit(" ")).alias("open"))
-        ).otherwise(F.struct(acc["done"].alias("done"), F.concat(acc["open"], sentence, F.lit(" ")).alias("open")))
-
-    last = lambda a: F.filter(F.concat(a["done"], F.array(T.strip(a["open"]))), lambda s: s != "")
-    packed = F.aggregate(F.split(section, P.SENTENCE_SPLIT), start, step, last)
-    return F.when(F.length(section) <= window, F.array(section)).otherwise(packed)
+    """Array of pieces of whole sentences, none over `window` characters but single sentences.
+
+    Only lengths are summed from sentence to sentence; each piece is joined once.
+    """
+    sentences = F.split(section, P.SENTENCE_SPLIT)
+    start = F.struct(F.array(F.lit(0)).alias("cuts"), F.lit(0).alias("open"))
+
+    def step(acc, x):
+        full = (acc["open"] > 0) & (acc["open"] + x["n"] > window)
+        return F.struct(F.when(full, F.array_append(acc["cuts"], x["i"])).otherwise(acc["cuts"]).alias("cuts"), (F.when(full, 0).otherwise(acc["open"]) + x["n"] + 1).alias("open"))
+
+    cuts = F.aggregate(F.transform(sentences, lambda s, i: F.struct(i.alias("i"), F.length(s).alias("n"))), start, step, lambda acc: acc["cuts"])
+    ends = F.concat(F.slice(cuts, F.lit(2), F.size(cuts)), F.array(F.size(sentences)))
+    pieces = F.zip_with(cuts, ends, lambda lo, hi: T.strip(F.array_join(F.slice(sentences, lo + 1, hi - lo), " ")))
+    return F.when(F.length(section) <= window, F.array(section)).otherwise(F.filter(pieces, lambda s: s != ""))
 
 
 def chunk_outline(full: Column, window: int = 900, least: int = 30) -> Column:
