@@ -54,7 +54,7 @@ LEAST = 32
 #: Bytes that the pre-tokenizer looks ahead at most (four characters), and that a repair looks into a chunk at first.
 MARGIN, LOOK = 16, 64
 #: Bytes of chunks and ids that a worker remembers; the older half goes when they are more.
-REMEMBER = 64 << 20
+REMEMBER = 16 << 20
 #: Characters of a string that the faster library is given at most.
 QUICK_MOST = 20_000
 _CONTROL = re.compile(r"[\x1c-\x1f\x7f]")
@@ -205,10 +205,14 @@ class Codec:
         n = len(data)
         if n <= WINDOW:
             return np.unique(offsets)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * tv.powers(n)[:n], out=total[1:])
-        rolling = tv.mix((total[WINDOW:] - total[:-WINDOW]) * tv.powers(n, inverse=True)[: n - WINDOW + 1])
-        cuts = np.flatnonzero(rolling >> np.uint64(64 - CUT_BITS) == 0) + WINDOW
+        found = []
+        for lo in range(0, n - WINDOW + 1, tv.HASH_BYTES):  # in blocks, so tables and sums stay short
+            part = data[lo : lo + tv.HASH_BYTES + WINDOW - 1]
+            total = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * tv.powers(2 * tv.HASH_BYTES)[: len(part)], out=total[1:])
+            rolling = tv.mix((total[WINDOW:] - total[:-WINDOW]) * tv.powers(2 * tv.HASH_BYTES, inverse=True)[: len(part) - WINDOW + 1])
+            found.append(np.flatnonzero(rolling >> np.uint64(64 - CUT_BITS) == 0) + (lo + WINDOW))
+        cuts = np.concatenate(found)
         cuts = cuts[np.searchsorted(offsets, cuts, "right") == np.searchsorted(offsets, cuts - WINDOW, "right")]
         cuts = cuts[np.diff(cuts, prepend=-LEAST) >= LEAST]
         cuts = cuts[cuts < n]
@@ -274,11 +278,11 @@ class Codec:
         found = {p: c for p in wanted if (c := self.known.get(p) or self.older.get(p))}
         new = [p for p in wanted if p not in found]
         for p, ids in zip(new, self._ids(new)):
-            found[p] = Chunk(p, ids, np.cumsum(self.lengths[ids]))
+            found[p] = Chunk(p, ids, np.cumsum(self.lengths[ids], dtype=np.int32))
         for p in wanted:
             if p not in self.known:
                 self.known[p] = found[p]
-                self.size += len(p) + 12 * len(found[p].ids) + 400
+                self.size += len(p) + 8 * len(found[p].ids) + 2_000  # with the objects around them
         if self.size > REMEMBER // 2:
             self.known, self.older, self.size = {}, self.known, 0
         return found
