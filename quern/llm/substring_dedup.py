@@ -43,7 +43,7 @@ WINDOW = 50
 SEED = 8
 SPAN = 64  # windows of a segment, at most the bits of a long
 SHARD_WORDS = 600_000
-HOT_WORDS = 300_000
+HOT_WORDS = 100_000
 #: Hot smallest hashes that all tasks are told at once; more of them take more rounds.
 HOT_KEYS = 1_000_000
 #: Words of an Arrow batch that go out together.
