@@ -551,10 +551,17 @@ def answer_context(spark, sf_dir):
     return vector.context(got["scoped"], got["overall"])
 
 
-@query()
+@query(_WALK + """, rel AS (SELECT f.iri FROM f WHERE distance > 0 ORDER BY distance, f.iri LIMIT 50),
+fa AS (SELECT DISTINCT a.label || ' 참조 ' || z.label AS fact FROM e JOIN l a ON a.iri = e.src JOIN l z ON z.iri = e.dst WHERE e.src IN (SELECT iri FROM s) OR e.dst IN (SELECT iri FROM s)
+  ORDER BY fact LIMIT 20)
+SELECT 0 AS n, 'meta' AS type, NULL AS t, (SELECT count(*) FROM rel)::INTEGER AS n_related, (SELECT md5(string_agg(fact, '|' ORDER BY fact)) FROM fa) AS facts
+UNION ALL SELECT 1, 'tok', '가', 0, NULL UNION ALL SELECT 2, 'tok', '나', 0, NULL UNION ALL SELECT 3, 'done', NULL, 0, NULL""")
 def sse_events(spark, sf_dir):
     events = list(_session(spark, sf_dir).events("기관0001시행령 절차", first_vector(spark, sf_dir), lambda q: iter(["가", "나"])))
-    return spark.createDataFrame(list(enumerate(events)), "n int, event string")
+    schema = "type string, t string, kg struct<related: array<struct<iri: string>>, facts: array<string>>"
+    rows = spark.createDataFrame(list(enumerate(events)), "n int, event string").withColumn("m", F.from_json(F.regexp_extract("event", r"(?s)^data: (.*)\n\n$", 1), schema))
+    facts = F.md5(F.array_join(F.array_sort("m.kg.facts"), "|"))
+    return rows.select("n", "m.type", "m.t", F.when(F.col("m.kg").isNotNull(), F.size("m.kg.related")).otherwise(0).alias("n_related"), facts.alias("facts"))
 
 
 @query(TRIPLES + " SELECT s, p, o, kind FROM t")

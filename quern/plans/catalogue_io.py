@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import zipfile
 
 from pyspark.sql import DataFrame
@@ -97,6 +98,18 @@ def vectors_parquet(spark, sf_dir):
     return vectors_in.read_parquet(spark, path).select("row_id", "doc", F.size("embedding").alias("dim"), F.round(F.col("embedding")[0].cast("double"), 4).alias("first"))
 
 
+@query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row_id, 'v' || vec_id AS id, 'd' || label AS doc, CAST(len(embedding) AS INTEGER) AS dim, true AS near FROM embeddings")
+def vectors_npy(spark, sf_dir):
+    """A float16 matrix and its metadata, written from the driver into the shared folder and read again; near: as float16 can say it."""
+    rows = table(spark, sf_dir, "embeddings").selectExpr("vec_id AS row_id", "concat('v', vec_id) AS id", "concat('d', label) AS doc", "'t' AS text", "embedding")
+    path = fresh_path(spark, "matrix").removeprefix("file://").removeprefix("file:") + ".npy"
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    tables.export_npy(rows, path)
+    back = vectors_in.read_npy(spark, f"file://{path}", f"file://{path.removesuffix('.npy')}.meta.jsonl")
+    near = F.forall(F.zip_with("embedding", "was", lambda x, y: F.abs(x - y) <= 0.001 * F.abs(y) + 1e-6), lambda x: x)
+    return back.join(rows.select("id", F.col("embedding").alias("was")), "id").select("row_id", "id", "doc", F.size("embedding").alias("dim"), near.alias("near"))
+
+
 @query("WITH a AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT v FROM a ORDER BY vec_id LIMIT 1) SELECT vec_id, round(list_dot_product(a.v, q.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(q.v, q.v)) + 1e-9), 6) AS score FROM a, q")
 def cosine_plain(spark, sf_dir):
     q = vector.literal(first_vector(spark, sf_dir))
@@ -395,6 +408,17 @@ def literal_values(spark, sf_dir):
     return turtle_in.statements(lines).where("kind = 'lit'").select(F.col("ord.line").alias("p_partkey"), F.col("o").alias("said"))
 
 
+@query("SELECT DISTINCT '위원회' || p_partkey % 400 AS canon FROM part WHERE (p_partkey % 400) % 3 <> 0")
+def organisations_judged(spark, sf_dir):
+    """Names that a judge lets pass, asked in batches."""
+
+    def judge(labels):
+        return [x for x in labels if int(x.removeprefix("위원회")) % 3]
+
+    names = table(spark, sf_dir, "part").select(F.concat(F.lit("위원회"), (F.col("p_partkey") % 400).cast("string")).alias("canon")).distinct()
+    return extract.judged(names.withColumn("label", F.col("canon")), judge).select("canon")
+
+
 # --- questions
 
 

@@ -59,12 +59,17 @@ def paged(found: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def hits(answers: DataFrame, key: str = "law") -> DataFrame:
-    """(query, page, pos, sid, name) of search answers (query, page, payload); key: part of the name of the list."""
+    """(query, page, pos, sid, name, enacted, amended) of search answers (query, page, payload); key: part of the name of the list.
+
+    Serial numbers and names stand under known keys, or else under the first that contains 일련번호 or 명.
+    """
     items = F.from_json(find_key(F.col("payload"), key, "list"), "array<string>")
     rows = answers.select("query", "page", F.posexplode(items).alias("pos", "item"))
-    sid = F.coalesce(*[F.get_json_object("item", f"$.{k}") for k in ("법령일련번호", "행정규칙일련번호", "MST", "ID")])
-    name = F.coalesce(*[F.get_json_object("item", f"$.{k}") for k in ("법령명한글", "행정규칙명", "법령명")])
-    return rows.select("query", "page", "pos", sid.alias("sid"), T.strip(name).alias("name")).where("sid IS NOT NULL AND name <> ''")
+    known = lambda *keys: [F.get_json_object("item", f"$.{k}") for k in keys]
+    sid = F.coalesce(*known("법령일련번호", "행정규칙일련번호", "MST", "ID"), find_key(F.col("item"), "일련번호", "any"))
+    name = F.coalesce(*known("법령명한글", "행정규칙명", "법령명"), find_key(F.col("item"), "명"))
+    dates = [T.format_date(find_key(F.col("item"), k, "any")).alias(n) for k, n in (("발령일자", "enacted"), ("시행일자", "amended"))]
+    return rows.select("query", "page", "pos", sid.alias("sid"), T.strip(name).alias("name"), *dates).where("sid IS NOT NULL AND name <> ''")
 
 
 def manuals(found: DataFrame) -> DataFrame:

@@ -91,6 +91,39 @@ def test_search_answers_and_attachments(spark):
     assert [(r.sid, len(r.text)) for r in payloads.readable(texts).collect()] == [("1", 400)]
 
 
+def test_hits_under_other_keys(spark):
+    item = {"자치법규일련번호": 77, "자치법규명": " 조례 ", "발령일자": 20230501, "시행일자": "20240102"}
+    answers = spark.createDataFrame([("q", 1, json.dumps({"x": {"law": [item, {"자치법규일련번호": 78}]}}, ensure_ascii=False))], "query string, page int, payload string")
+    assert [tuple(r) for r in payloads.hits(answers).collect()] == [("q", 1, 0, "77", "조례", "2023. 5. 1.", "2024. 1. 2.")]
+
+
+def test_commands(spark, tmp_path):
+    from quern.__main__ import main
+    from quern.plans import readiness
+
+    said = json.dumps({"admrul": [{"행정규칙일련번호": "1", "행정규칙명": "업무편람"}]}, ensure_ascii=False)
+    spark.createDataFrame([("q", 1, said)], "query string, page int, payload string").write.parquet(str(tmp_path / "answers"))
+    spark.createDataFrame([("1", 0, "짧다"), ("1", 1, "가나다 " * 200)], "sid string, pos int, text string").write.parquet(str(tmp_path / "texts"))
+    main(["manuals", str(tmp_path / "answers"), str(tmp_path / "texts"), str(tmp_path / "manuals")])
+    got = spark.read.parquet(str(tmp_path / "manuals")).collect()
+    assert [(r.doc_title, r.doc_key) for r in got] == [("업무편람", "manual_업무편람")] and got[0].text == ("가나다 " * 200).strip()
+    (tmp_path / "chunks").mkdir()
+    (tmp_path / "chunks" / "a.json").write_text(json.dumps([{"doc_title": "가", "text": "하나"}, {"text": "둘둘둘"}], ensure_ascii=False), encoding="utf-8")
+    main(["embed", str(tmp_path / "chunks"), "tests.test_io:lengths", str(tmp_path / "vectors")])
+    assert [(r.row_id, r.text, r.embedding) for r in vectors.read_parquet(spark, str(tmp_path / "vectors")).orderBy("row_id").collect()] == [(0, "둘둘둘", [3.0]), (1, "하나", [2.0])]
+    main(["stream", str(tmp_path / "manuals"), str(tmp_path / "store"), str(tmp_path / "check")])
+    assert spark.read.parquet(str(tmp_path / "store")).count() == 1
+    paths = [str(tmp_path / x) for x in ("vectors", "none")]
+    assert list(readiness.present(spark, paths).values()) == [True, False]
+    rows = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0])], "row_id long, embedding array<double>")
+    got = readiness.vectors(rows, rows.where("row_id = 0"), 2).first()
+    assert (got.n_rows, got.n_meta, got.dim_min, got.dim_max, got.agree, got.fits) == (2, 1, 1, 2, False, False)
+
+
+def lengths(texts):
+    return [[float(len(t))] for t in texts]
+
+
 def test_pages_end_at_the_first_empty_one(spark):
     answers = spark.createDataFrame([(q, p) for q in "ab" for p in (1, 2, 3, 4)], "query string, page int")
     hits = spark.createDataFrame([("a", 1, 0, "1", "x"), ("a", 1, 1, "1", "y"), ("a", 2, 0, "2", "z"), ("a", 4, 0, "3", "late"), ("b", 1, 0, "1", "x"), ("b", 2, 0, "1", "w")], "query string, page int, pos int, sid string, name string")
