@@ -24,7 +24,7 @@ import hashlib
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -101,13 +101,17 @@ def _rng(*key) -> np.random.Generator:
     return np.random.Generator(np.random.PCG64(int.from_bytes(digest[:16], "big")))
 
 
-def _quotas(blocks: pd.DataFrame, seed: int) -> pd.DataFrame:
+def _quotas(blocks: pa.Table, seed: int) -> pa.Table:
     """The draws of a bundle's sources in order: of each source whole passes over its blocks, and a part of a last one."""
-    out = []
-    for s, own in blocks.groupby("s", sort=True):
-        words = dict(zip(own["b"].tolist(), own["words"].tolist()))
-        source, left, n = own["source"].iloc[0], int(own["target"].iloc[0]), int(own["blocks"].iloc[0])
-        turn = 0
+    of: dict[int, list[tuple[int, int]]] = {}
+    for s, b, words in zip(*(blocks[c].to_pylist() for c in ("s", "b", "words"))):
+        of.setdefault(s, []).append((b, words))
+    facts = dict(zip(blocks["s"].to_pylist(), zip(*(blocks[c].to_pylist() for c in ("source", "target", "blocks")))))
+    out: list[tuple[int, int, int, int | None]] = []
+    for s in sorted(of):
+        words = dict(of[s])
+        source, target, n = facts[s]
+        left, turn = int(target), 0
         while left > 0 and any(words.values()):
             for k in _rng(seed, source, turn).permutation(n).tolist():
                 have = words.get(k, 0)
@@ -115,13 +119,12 @@ def _quotas(blocks: pd.DataFrame, seed: int) -> pd.DataFrame:
                     out.append((s, k, turn, None if have <= left else left))
                     left -= min(have, left)
             turn += 1
-    bundle = blocks["bundle"].iloc[0]
-    if blocks["s"].nunique() > 1:
-        out = [out[i] for i in _rng(seed, int(bundle)).permutation(len(out))]
-    draws = pd.DataFrame(out, columns=["s", "b", "pass", "cut"]).astype({"cut": "Int64"})
-    draws.insert(0, "at", np.arange(len(draws)))
-    draws.insert(0, "bundle", bundle)
-    return draws
+    bundle = blocks["bundle"][0].as_py()
+    if len(of) > 1:
+        out = [out[i] for i in _rng(seed, bundle).permutation(len(out))]
+    kinds = {"s": pa.int64(), "b": pa.int32(), "pass": pa.int32(), "cut": pa.int64()}
+    drawn = {name: pa.array([r[i] for r in out], kind) for i, (name, kind) in enumerate(kinds.items())}
+    return pa.table({"bundle": pa.array([bundle] * len(out), pa.int32()), "at": pa.array(range(len(out)), pa.int64()), **drawn})
 
 
 def allocate(docs: DataFrame, shards: int = SHARDS, seed: int = 1, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -151,7 +154,7 @@ def allocate(docs: DataFrame, shards: int = SHARDS, seed: int = 1, block_words:
         blocks.join(near, "__s")
         .select((F.col("__s") % bundles).cast("int").alias("bundle"), F.col("__s").alias("s"), F.col("__b").alias("b"), "words", F.col("__source").alias("source"), "target", F.col("__blocks").alias("blocks"))
         .groupBy("bundle")
-        .applyInPandas(lambda x: _quotas(x, seed), "bundle int, at long, s long, b int, pass int, cut long")
+        .applyInArrow(lambda x: _quotas(x, seed), "bundle int, at long, s long, b int, pass int, cut long")
     )
     draws = scratch.keep(draws)
     counts = np.zeros(bundles, np.int64)
@@ -185,7 +188,7 @@ def allocate(docs: DataFrame, shards: int = SHARDS, seed: int = 1, block_words:
 
 def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 1, bucket_words: int = BUCKET_WORDS) -> DataFrame:
     """The mix itself: the columns of docs, a row for each draw, with `shard`, `pass` and `words`; a draw of a part of a text
-    holds its first words.  A bucket of a shard lies in one partition, in shuffled order."""
+    holds its first words.  A bucket of a shard is a partition of its own, in shuffled order."""
     drawn = allocate(docs, shards, seed).withColumn("d", F.explode("draws"))
     first = F.expr(r"array_join(slice(regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0), 1, CAST(d.words AS INT)), '')")
     drawn = drawn.withColumn("text", F.when(F.col("d.words") < F.col("size"), first).otherwise(F.col("text")))
@@ -194,10 +197,10 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 1, bucket_words: int
     buckets = max(1, math.ceil(SHARE * total / shards / bucket_words))
     return (
         drawn.select(*docs.columns, "d.shard", "d.pass", "d.words", place.alias("__place"))
-        .withColumn("__bucket", F.pmod(F.xxhash64("__place"), F.lit(buckets)))
-        .repartition(shards * buckets, "shard", "__bucket")
-        .sortWithinPartitions("shard", "__bucket", "__place")
-        .drop("__place", "__bucket")
+        .withColumn("__part", (F.col("shard") * buckets + F.pmod(F.xxhash64("__place"), F.lit(buckets))).cast("int"))
+        .repartitionById(shards * buckets, "__part")
+        .sortWithinPartitions("__place")
+        .drop("__place", "__part")
     )
 
 

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -244,10 +245,13 @@ def redact(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             column = b.column(place)
-            found = list(_scanned(column))
-            if any(spans for _, spans in found):
-                texts = (_without(text, spans) if spans else old.as_py() for (text, spans), old in zip(found, column))
-                column = pa.array(texts, column.type)
+            with_some, texts = [], []
+            for text, spans in _scanned(column):
+                with_some.append(bool(spans))
+                if spans:
+                    texts.append(_without(text, spans))
+            if texts:
+                column = pc.replace_with_mask(column, pa.array(with_some), pa.array(texts, column.type))
             yield pa.RecordBatch.from_arrays([*b.columns[:place], column, *b.columns[place + 1 :]], names=names)
 
     return inner.mapInArrow(run, kept)

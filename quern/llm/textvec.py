@@ -158,7 +158,7 @@ def as_signed(x: np.ndarray) -> np.ndarray:
 
 
 #: Bytes of an Arrow batch at most: rows can be long, and a worker holds some batches at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def carry(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, int, StructType]:
