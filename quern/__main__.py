@@ -19,6 +19,12 @@ from quern.sources import chunks, files, payloads, vectors
 from quern.streaming import incremental
 
 
+def _named(said: str):
+    """The function of a module:function."""
+    module, name = said.split(":")
+    return getattr(importlib.import_module(module), name)
+
+
 def main(argv: list[str] | None = None) -> None:
     top = argparse.ArgumentParser(prog="quern", description=__doc__)
     sub = top.add_subparsers(dest="command", required=True)
@@ -26,10 +32,13 @@ def main(argv: list[str] | None = None) -> None:
         p = sub.add_parser(name)
         for a in args:
             p.add_argument(a)
+        if name == "build":
+            p.add_argument("--judge", help="module:function, list of organisations' labels -> those kept; KG_ORG_LLM_GATE=0 leaves it out")
     a = top.parse_args(argv)
     spark = SparkSession.builder.appName("quern").getOrCreate()
     if a.command in ("build", "classify"):
-        g = Graph(chunks.read(spark, a.chunks))
+        asked = getattr(a, "judge", None) if Settings.read().judge_organisations else None
+        g = Graph(chunks.read(spark, a.chunks), judge=_named(asked) if asked else None)
         typed = classify.typed_edges(g.documents)
         if a.command == "classify":
             typed.orderBy("s", "p", "o").select(F.concat_ws(" ", "s", "p", "o", F.lit("."))).write.text(f"{a.out}/kg_relations")
@@ -52,9 +61,7 @@ def main(argv: list[str] | None = None) -> None:
         pieces = texts.select(F.xxhash64("sid").alias("doc_ord"), F.col("name").alias("doc_title"), F.posexplode(chunking.chunk_outline(F.col("text"))).alias("seq", "text"))
         tables.write_chunks(corpus.assign_chunk_ids(pieces), a.out, "manual_")
     elif a.command == "embed":  # embedder: module:function, list of texts -> list of vectors
-        module, name = a.embedder.split(":")
-        embedder = getattr(importlib.import_module(module), name)
-        rows = hooks.embed(chunks.for_embedding(chunks.read(spark, a.chunks)), embedder, max_chars=Settings.read().max_chars)
+        rows = hooks.embed(chunks.for_embedding(chunks.read(spark, a.chunks)), _named(a.embedder), max_chars=Settings.read().max_chars)
         tables.write_vectors(numbered(rows, "row_id", "doc", "text", "id"), a.out)
     elif a.command == "stream":
         schema = spark.read.parquet(a.folder).schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")

@@ -78,4 +78,7 @@ def test_settings(tmp_path):
     (tmp_path / ".env").write_text("TOP_K=9\n# x=1\nKG_GRAPH_HOPS = '2'\n", encoding="utf-8")
     (tmp_path / "a" / "b").mkdir(parents=True)
     s = Settings.read(env_file(tmp_path / "a" / "b"))
-    assert (s.top_k, s.hops, s.answer_hops) == (9, 2, 2)
+    assert (s.top_k, s.hops, s.answer_hops) == (9, 2, 2) and s.judge_organisations
+    all_ = {"KG_TTL": "a", "CHUNKS_DIR": "b", "VECTORS_PATH": "c", "KG_ORG_LLM_GATE": "0", "KG_MAX_RELATED": "7", "KG_ANSWER_HOPS": "1"}
+    s = Settings.read(all_)
+    assert (s.graph, s.chunks, s.vectors, s.judge_organisations, s.max_related, s.answer_hops) == ("a", "b", "c", False, 7, 1)

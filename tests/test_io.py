@@ -97,7 +97,7 @@ def test_hits_under_other_keys(spark):
     assert [tuple(r) for r in payloads.hits(answers).collect()] == [("q", 1, 0, "77", "조례", "2023. 5. 1.", "2024. 1. 2.")]
 
 
-def test_commands(spark, tmp_path):
+def test_commands(spark, tmp_path, monkeypatch):
     from quern.__main__ import main
     from quern.plans import readiness
 
@@ -111,6 +111,16 @@ def test_commands(spark, tmp_path):
     (tmp_path / "chunks" / "a.json").write_text(json.dumps([{"doc_title": "가", "text": "하나"}, {"text": "둘둘둘"}], ensure_ascii=False), encoding="utf-8")
     main(["embed", str(tmp_path / "chunks"), "tests.test_io:lengths", str(tmp_path / "vectors")])
     assert [(r.row_id, r.text, r.embedding) for r in vectors.read_parquet(spark, str(tmp_path / "vectors")).orderBy("row_id").collect()] == [(0, "둘둘둘", [3.0]), (1, "하나", [2.0])]
+    text = "기술평가위원회를 둔다. 심사관리위원회를 설치한다."
+    (tmp_path / "chunks" / "b.json").write_text(json.dumps([{"doc_title": "나 규정", "doc_family": "법규체", "unit": "조", "text": text, "chunk_id": "d1#0001"}], ensure_ascii=False), encoding="utf-8")
+    for gate, names in (("1", {"심사관리위원회"}), ("0", {"심사관리위원회", "기술평가위원회"})):
+        monkeypatch.setenv("KG_ORG_LLM_GATE", gate)
+        main(["build", str(tmp_path / "chunks"), str(tmp_path / f"built{gate}"), "--judge", "tests.test_io:not_the_first"])
+        rows = turtle.read(spark, str(tmp_path / f"built{gate}" / "kg")).where("s LIKE 'orgn:%' AND p = 'rdfs:label'").collect()
+        assert {r.o for r in rows} == names
+        stats = json.loads(spark.read.text(str(tmp_path / f"built{gate}" / "kg_stats")).first()[0])
+        assert stats["org_llm_dropped"] == 2 - len(names) and stats["documents"] == 2
+        assert "src_with_targets" in json.loads(spark.read.text(str(tmp_path / f"built{gate}" / "edge_stats")).first()[0])
     main(["stream", str(tmp_path / "manuals"), str(tmp_path / "store"), str(tmp_path / "check")])
     assert spark.read.parquet(str(tmp_path / "store")).count() == 1
     paths = [str(tmp_path / x) for x in ("vectors", "none")]
@@ -120,6 +130,10 @@ def test_commands(spark, tmp_path):
     assert (got.n_rows, got.n_meta, got.dim_min, got.dim_max, got.agree, got.fits) == (2, 1, 1, 2, False, False)
 
 
+def not_the_first(labels):
+    return sorted(labels)[1:]
+
+
 def lengths(texts):
     return [[float(len(t))] for t in texts]
 
