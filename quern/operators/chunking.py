@@ -36,17 +36,23 @@ def pack_sentences(section: Column, window: int = 900) -> Column:
 
     Only lengths are summed from sentence to sentence; each piece is joined once.
     """
-    sentences = F.split(section, P.SENTENCE_SPLIT)
     start = F.struct(F.array(F.lit(0)).alias("cuts"), F.lit(0).alias("open"))
 
     def step(acc, x):
         full = (acc["open"] > 0) & (acc["open"] + x["n"] > window)
         return F.struct(F.when(full, F.array_append(acc["cuts"], x["i"])).otherwise(acc["cuts"]).alias("cuts"), (F.when(full, 0).otherwise(acc["open"]) + x["n"] + 1).alias("open"))
 
-    cuts = F.aggregate(F.transform(sentences, lambda s, i: F.struct(i.alias("i"), F.length(s).alias("n"))), start, step, lambda acc: acc["cuts"])
-    ends = F.concat(F.slice(cuts, F.lit(2), F.size(cuts)), F.array(F.size(sentences)))
-    pieces = F.zip_with(cuts, ends, lambda lo, hi: T.strip(F.array_join(F.slice(sentences, lo + 1, hi - lo), " ")))
-    return F.when(F.length(section) <= window, F.array(section)).otherwise(F.filter(pieces, lambda s: s != ""))
+    def pieces(x):
+        ends = F.concat(F.slice(x["cuts"], F.lit(2), F.size(x["cuts"])), F.array(F.size(x["said"])))
+        return F.zip_with(x["cuts"], ends, lambda lo, hi: T.strip(F.array_join(F.slice(x["said"], lo + 1, hi - lo), " ")))
+
+    def cut(said):
+        sizes = F.transform(said, lambda s, i: F.struct(i.alias("i"), F.length(s).alias("n")))
+        return F.struct(said.alias("said"), F.aggregate(sizes, start, step, lambda acc: acc["cuts"]).alias("cuts"))
+
+    # arrays of one element bind what is used several times, so it is made once
+    packed = F.flatten(F.transform(F.transform(F.array(F.split(section, P.SENTENCE_SPLIT)), cut), pieces))
+    return F.when(F.length(section) <= window, F.array(section)).otherwise(F.filter(packed, lambda s: s != ""))
 
 
 def chunk_outline(full: Column, window: int = 900, least: int = 30) -> Column:
