@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions import patterns as P
 from quern.functions import text as T
+from quern.functions.config import bounded_batches
 
 
 def split_articles(full: Column) -> Column:
@@ -79,90 +82,104 @@ def local_chunks(files: DataFrame) -> DataFrame:
     )
 
 
-def collect_text(value: Column, suffix: str = "내용") -> Column:
-    """Array of the texts under keys with a suffix in a JSON document (a string), depth first."""
-    return F.pandas_udf(_collector(suffix), "array<string>")(value)
+def _texts(x, suffix: str, out: list) -> list:
+    for k, v in x.items() if isinstance(x, dict) else enumerate(x) if isinstance(x, list) else ():
+        if isinstance(k, str) and k.endswith(suffix) and isinstance(v, str):
+            out.append(v)
+        else:
+            _texts(v, suffix, out)
+    return out
 
 
-def _collector(suffix: str):
-    def walk(x, out):
-        for k, v in x.items() if isinstance(x, dict) else enumerate(x) if isinstance(x, list) else ():
-            if isinstance(k, str) and k.endswith(suffix) and isinstance(v, str):
-                out.append(v)
-            else:
-                walk(v, out)
-        return out
+_FITS = {"string": lambda v: isinstance(v, str) and bool(v.strip()), "list": lambda v: isinstance(v, list), "any": lambda v: v is not None}
 
-    def run(docs: pd.Series) -> pd.Series:
-        def one(text):
-            try:
-                return walk(json.loads(text), []) if text else []
-            except ValueError:
-                return []
 
-        return docs.map(one)
+def _first(x, part: str, fits):
+    if isinstance(x, dict):
+        for k, v in x.items():
+            if part in k and fits(v):
+                return v
+    for v in x.values() if isinstance(x, dict) else x if isinstance(x, list) else ():
+        if (found := _first(v, part, fits)) not in (None, "", []):
+            return found
+    return None
+
+
+def _loaded(text: str | None):
+    try:
+        return json.loads(text) if text else None
+    except ValueError:
+        return None
 
-    return run
+
+def _shown(v) -> str | None:
+    return v if isinstance(v, str) or v is None else json.dumps(v, ensure_ascii=False)
+
+
+def collect_text(value: Column, suffix: str = "내용") -> Column:
+    """Array of the texts under keys with a suffix in a JSON document (a string), depth first."""
+
+    def run(docs: pd.Series) -> pd.Series:
+        return docs.map(lambda text: _texts(_loaded(text), suffix, []))
+
+    return F.pandas_udf(run, "array<string>")(value)
 
 
 def find_key(value: Column, part: str, kind: str = "string") -> Column:
     """The first value (as JSON) under a key that contains `part` in a JSON document, a level before those below it; kind: string, list or any."""
-    fits = {"string": lambda v: isinstance(v, str) and bool(v.strip()), "list": lambda v: isinstance(v, list), "any": lambda v: v is not None}[kind]
-
-    def walk(x):
-        if isinstance(x, dict):
-            for k, v in x.items():
-                if part in k and fits(v):
-                    return v
-        for v in x.values() if isinstance(x, dict) else x if isinstance(x, list) else ():
-            if (found := walk(v)) not in (None, "", []):
-                return found
-        return None
+    fits = _FITS[kind]
 
     def run(docs: pd.Series) -> pd.Series:
-        def one(text):
-            try:
-                got = walk(json.loads(text)) if text else None
-            except ValueError:
-                return None
-            return got if isinstance(got, str) or got is None else json.dumps(got, ensure_ascii=False)
-
-        return docs.map(one)
+        return docs.map(lambda text: _shown(_first(_loaded(text), part, fits)))
 
     return F.pandas_udf(run, "string")(value)
 
 
+_PAYLOAD = "doc_ord long, doc_title string, published string, enforced string, units array<struct<no: string, title: string, text: string>>, body string"
+
+
+def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each payload, parsed once: its dates as given, its article units, and its body unless one of the units is surely an article."""
+    for b in batches:
+        found = {"published": [], "enforced": [], "units": [], "body": []}
+        for text in b.column(2):
+            doc = _loaded(text.as_py())
+            units, sure = [], False
+            for u in _first(doc, "조문단위", _FITS["list"]) or ():
+                u = _loaded(u) if isinstance(u, str) else u
+                own = u if isinstance(u, dict) else {}
+                if _shown(own.get("조문여부")) != "전문":
+                    said = " ".join(_texts(u, "내용", []))
+                    units.append({"no": _shown(own.get("조문번호")) or "", "title": _shown(own.get("조문제목")) or "", "text": said})
+                    sure = sure or "삭제" not in said and bool(re.sub("<[^>]+>", " ", said).strip())
+            found["published"].append(_first(doc, "공포일자", _FITS["string"]))
+            found["enforced"].append(_first(doc, "시행일자", _FITS["string"]))
+            found["units"].append(units)
+            listed = None if sure else _first(doc, "조문내용", _FITS["list"])
+            body = _texts(doc, "내용", []) if listed is None else [_shown(x) for x in listed if x is not None]
+            found["body"].append(None if sure else " ".join(body))
+        kinds = {"units": pa.list_(pa.struct([("no", pa.string()), ("title", pa.string()), ("text", pa.string())]))}
+        more = [pa.array(v, kinds.get(k, pa.string())) for k, v in found.items()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *more], names=["doc_ord", "doc_title", *found])
+
+
 def statute_chunks(payloads: DataFrame, doc_type: str = "법령") -> DataFrame:
     """Chunks of recorded statute payloads (doc_ord, name, payload as JSON text): article units, or the body split by articles, or 8,000
-    characters of it."""
-    rows = payloads.withColumns({
-        "enacted": T.format_date(find_key(F.col("payload"), "공포일자")), "last_amended": T.format_date(find_key(F.col("payload"), "시행일자")),
-        "units": F.from_json(find_key(F.col("payload"), "조문단위", "list"), "array<string>"),
-        "body": F.concat_ws(" ", F.coalesce(F.from_json(find_key(F.col("payload"), "조문내용", "list"), "array<string>"), collect_text(F.col("payload")))),
-    })
-    meta = ["doc_ord", F.col("name").alias("doc_title"), "enacted", "last_amended"]
-    units = rows.select(*meta, F.posexplode("units").alias("pos", "u"))
-    texts = T.collapse(F.regexp_replace(F.array_join(collect_text(F.col("u")), " "), "<[^>]+>", " "))
-    no = T.strip(F.coalesce(F.get_json_object("u", "$.조문번호"), F.lit("")))
-    units = units.withColumns({"text": texts, "no": no}).where("text <> ''").where(F.coalesce(F.get_json_object("u", "$.조문여부"), F.lit("")) != "전문")
-    units = units.where(~F.col("text").rlike(r"(?U)^제\s*\d+\s*조\s*삭제"))
-    shown = ["doc_ord", "doc_title", "enacted", "last_amended", "pos", "unit", "article_label", "article_title", "text"]
-    one = units.withColumns({
-        "unit": F.lit("조"), "article_label": F.when(F.col("no") != "", F.concat(F.lit("제"), "no", F.lit("조"))).otherwise(""),
-        "article_title": T.strip(F.coalesce(F.get_json_object("u", "$.조문제목"), F.lit(""))),
-    }).select(*shown)
-    rest = rows.join(one.select("doc_ord").distinct(), "doc_ord", "left_anti").withColumn("full", T.collapse(F.regexp_replace("body", "<[^>]+>", " ")))
-    rest = rest.withColumn("pieces", split_articles(F.col("full")))
-    two = rest.select(*meta, F.posexplode("pieces").alias("pos", "p")).select(
-        "doc_ord", "doc_title", "enacted", "last_amended", "pos", F.lit("조").alias("unit"), F.col("p.label").alias("article_label"), F.col("p.title").alias("article_title"), "p.text"
-    )
-    three = rest.where("size(pieces) = 0 AND full <> ''").select(
-        *meta, F.lit(0).alias("pos"), F.lit("문서").alias("unit"), F.lit("").alias("article_label"), F.lit("").alias("article_title"), F.substring("full", 1, 8000).alias("text")
-    )
-    out = one.unionByName(two).unionByName(three).withColumn("seq", F.row_number().over(W.partitionBy("doc_ord").orderBy("pos")) - 1)
-    family = P.LEGAL
+    characters of it.  A payload is parsed once and its chunks come out of one row; payloads travel a few megabytes at a time."""
+    bounded_batches(payloads.sparkSession)
+    rows = payloads.select(F.col("doc_ord").cast("long"), F.col("name").alias("doc_title"), "payload").mapInArrow(_payloads, _PAYLOAD)
+    piece = lambda unit, label, title, text: F.struct(F.lit(unit).alias("unit"), label.alias("label"), title.alias("title"), text.alias("text"))
+    plain = lambda c: T.collapse(F.regexp_replace(c, "<[^>]+>", " "))
+    no, none = lambda u: T.strip(u["no"]), F.lit("")
+    one = F.transform("units", lambda u: piece("조", F.when(no(u) != "", F.concat(F.lit("제"), no(u), F.lit("조"))).otherwise(""), T.strip(u["title"]), plain(u["text"])))
+    rows = rows.withColumn("one", F.filter(one, lambda p: (p["text"] != "") & ~p["text"].rlike(r"(?U)^제\s*\d+\s*조\s*삭제")))
+    rows = rows.withColumn("full", F.when(F.size("one") == 0, plain(F.col("body"))))
+    rows = rows.withColumn("two", F.transform(split_articles(F.col("full")), lambda a: piece("조", a["label"], a["title"], a["text"])))
+    three = F.array(piece("문서", none, none, F.substring("full", 1, 8000)))
+    pieces = F.when(F.size("one") > 0, F.col("one")).when(F.size("two") > 0, F.col("two")).when(F.col("full") != "", three)
+    out = rows.select("doc_ord", "doc_title", T.format_date(F.col("published")).alias("enacted"), T.format_date(F.col("enforced")).alias("last_amended"), F.posexplode(pieces).alias("seq", "p"))
+    source = F.concat(F.lit(doc_type + "_"), "doc_title", F.lit(".json"))
     return out.select(
-        "doc_ord", F.concat(F.lit(doc_type + "_"), "doc_title", F.lit(".json")).alias("file_name"), "seq", "doc_title",
-        F.concat(F.lit(doc_type + "_"), "doc_title", F.lit(".json")).alias("source_file"), F.lit(family).alias("doc_family"), F.lit(doc_type).alias("doc_type"),
-        "enacted", "last_amended", "unit", "article_label", "article_title", "text",
+        "doc_ord", source.alias("file_name"), "seq", "doc_title", source.alias("source_file"), F.lit(P.LEGAL).alias("doc_family"), F.lit(doc_type).alias("doc_type"),
+        "enacted", "last_amended", F.col("p.unit").alias("unit"), F.col("p.label").alias("article_label"), F.col("p.title").alias("article_title"), F.col("p.text").alias("text"),
     )

@@ -212,3 +212,18 @@ def test_written_tables(spark, tmp_path):
     tables.append_proposals(df, str(tmp_path / "p"), "r1")
     tables.append_proposals(df, str(tmp_path / "p"), "r1")
     assert spark.read.parquet(str(tmp_path / "p")).count() == 1
+
+
+def test_statute_payloads_come_in_small_batches(spark):
+    """Whole payloads in a batch of 10,000 rows are more than a worker holds."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 30))
+    units = [{"조문번호": str(i), "조문여부": "조문", "조문내용": f"제{i}조(목적) " + "글 " * 2_000} for i in range(1, 40)]
+    said = json.dumps({"법령": {"조문": {"조문단위": units}}}, ensure_ascii=False)
+    rows = spark.range(0, 60, 1, 1).select(F.col("id").alias("doc_ord"), F.lit("가").alias("name"), F.lit(said).alias("payload"))
+    got = chunking.statute_chunks(rows)
+    assert got.count() == 60 * 39 and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == 4 << 20
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan and "Exchange" not in plan
+    odd = {"법령": {"조문": {"조문단위": [{"조문번호": 3, "조문여부": "전문", "조문내용": "머리"}, {"조문번호": 2, "조문내용": "제2조 삭제"}, None, "x"], "조문내용": ["앞", None, {"a": 1}]}}}
+    one = chunking.statute_chunks(spark.createDataFrame([(7, "나", json.dumps(odd, ensure_ascii=False))], "doc_ord long, name string, payload string")).collect()
+    assert [(r.doc_ord, r.seq, r.unit, r.text) for r in one] == [(7, 0, "문서", '앞 {"a": 1}')]
