@@ -175,11 +175,11 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shared(rows: DataFrame, on: list[str], scratch: Scratch) -> DataFrame:
     """The rows whose key more than one document has, with `lo`, the smallest of these.
 
-    Keys with more than a SHAREth of all rows, fewer than SHARE of them, are broadcast: their rows stay where they are.
+    Of these rows, keys with more than a SHAREth, fewer than SHARE of them, are broadcast: their rows stay where they are.
     """
     found = rows.groupBy(*on).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("rows"))
     found = scratch.keep(found.where("lo < hi").drop("hi"))
-    many = F.col("rows") > rows.count() // SHARE
+    many = F.col("rows") > (found.agg(F.sum("rows")).first()[0] or 0) // SHARE
     often, rest = F.broadcast(found.where(many).drop("rows")), found.where(~many).drop("rows")
     return rows.join(often, on).unionByName(rows.join(often, on, "left_anti").join(rest, on))
 
@@ -190,9 +190,9 @@ def _distinct(segments: DataFrame) -> DataFrame:
     return segments.groupBy("mkey", "seg").agg(one, F.max("doc_id").alias("hi")).select("mkey", "seg", "one.*", "hi")
 
 
-def _dealt_anew(docs: DataFrame, found: DataFrame, hot: DataFrame, n_hot: int, scratch: Scratch) -> DataFrame:
-    """`found` without the segments of hot smallest hashes, and with their windows that more than one document has."""
-    out = found.join(hot, "mkey", "left_anti")
+def _dealt_anew(docs: DataFrame, hot: DataFrame, n_hot: int, scratch: Scratch) -> list[DataFrame]:
+    """The windows with hot smallest hashes that more than one document has, as segments: a kept table for each round."""
+    out = []
     rounds = -(-n_hot // HOT_KEYS)
     for r in range(rounds):  # each sends the keys of a round to all tasks, HOT_KEYS longs or so
         keys = hot.where(F.pmod(F.xxhash64("mkey"), F.lit(rounds)) == r).toPandas()["mkey"].to_numpy(np.int64)
@@ -201,7 +201,7 @@ def _dealt_anew(docs: DataFrame, found: DataFrame, hot: DataFrame, n_hot: int, s
             part = _shared(windows, ["window"], scratch)
             part = scratch.keep(part.select(F.col("window").alias("mkey"), F.col("window").alias("seg"), "doc_id", "mark", "begin", F.lit(WINDOW).alias("n")))
             scratch.drop(windows)
-            out = out.unionByName(part)
+            out.append(part)
     return out
 
 
@@ -210,21 +210,25 @@ def removed_spans(docs: DataFrame, scratch: Scratch, shard_words: int = SHARD_WO
     all_ = scratch.keep(_segments(docs))
     found = scratch.keep(_shared(all_, ["mkey"], scratch).drop("lo"))
     scratch.drop(all_)
-    distinct = scratch.keep(_distinct(found))
-    sizes = scratch.keep(distinct.groupBy("mkey").agg(F.sum("n").alias("words")))
-    hot = sizes.where(F.col("words") > hot_words).select("mkey")
-    words, n_hot = sizes.agg(F.sum("words"), F.count_if(F.col("words") > hot_words)).first()
+    kept = [scratch.keep(_distinct(found))]
+    distinct = kept[0]
+    sizes = distinct.groupBy("mkey").agg(F.sum("n").alias("words"))
+    hot = scratch.keep(sizes.where(F.col("words") > hot_words).select("mkey"))
+    n_hot = hot.count()
     if n_hot:
-        found = _dealt_anew(docs, found, hot, n_hot, scratch)
-        scratch.drop(distinct)
-        distinct = scratch.keep(_distinct(found))
-        words = distinct.agg(F.sum("n")).first()[0]
+        parts = _dealt_anew(docs, hot, n_hot, scratch)
+        found, distinct = found.join(hot, "mkey", "left_anti"), distinct.join(hot, "mkey", "left_anti")
+        for part in parts:
+            kept.append(scratch.keep(_distinct(part)))
+            found, distinct = found.unionByName(part), distinct.unionByName(kept[-1])
+    words = distinct.agg(F.sum("n")).first()[0]
     asked = distinct.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("mkey", "seg", "begin", "n", "hi")).alias("asked"))
     texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").join(asked, ["doc_id", "mark"]).select("doc_id", "text", "asked")
     contents = texts.mapInArrow(_contents, "mkey long, seg long, doc_id long, hi long, words binary")
     dealt = contents.repartition(max(1, -(-(words or 0) // shard_words)), "mkey").sortWithinPartitions("mkey", "seg")
-    reports = scratch.keep(dealt.mapInArrow(_repeats, "mkey long, seg long, lo long, a int, z int"))
-    scratch.drop(distinct)
+    reports = dealt.mapInArrow(_repeats, "mkey long, seg long, lo long, a int, z int")
+    reports = scratch.keep(reports.hint("rebalance"))  # files by bytes, not one for each shard
+    scratch.drop(*kept)
     lost = found.join(reports, ["mkey", "seg"]).where("doc_id > lo")
     span = F.struct((F.col("begin") + F.col("a")).alias("a"), (F.col("begin") + F.col("z")).alias("z"))
     return lost.select("doc_id", "mark", span.alias("span")).groupBy("doc_id", "mark").agg(F.collect_set("span").alias("spans"))

@@ -139,6 +139,29 @@ def test_substring_dedup_does_not_hang_on_shards(documents, monkeypatch, span, h
     assert got == want
 
 
+def test_substring_dedup_writes_few_files(documents, monkeypatch):
+    """Every file written costs the executors processes on a local folder: reports are no file for each shard, and the
+    segments without a hot smallest hash are not written again beside the windows of hot ones."""
+    from quern.llm.scratch import Scratch
+
+    keep, files, segments = Scratch.keep, [], []
+
+    def counted(self, df):
+        out = keep(self, df)
+        if "z" in out.columns:
+            files.append(len(out.inputFiles()))
+        if "hi" in out.columns:
+            segments.append(out.where(f"n <> {substring_dedup.WINDOW}").count())
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    spans = substring_dedup.removed_spans(documents, Scratch(documents.sparkSession), shard_words=500, hot_words=400)
+    got = {r.doc_id: len({k for a, z in r.spans for k in range(a, z)}) for r in spans.collect()}
+    assert got == {i: n for i, _, n, _ in brute.substring(rows_of(documents, "doc_id", "text")) if n}
+    assert len(files) == 1 and files[0] < 4
+    assert segments[0] and segments[1:] == [0]
+
+
 def test_shared_passage_in_many_contexts(spark):
     """One passage in every document, between words of its own or of few others."""
     from quern.llm.scratch import Scratch
